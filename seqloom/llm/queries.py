@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import decontaminate, line_dedup, mixing, pii, quality_rules, simhash, token_count
+from seqloom.llm import decontaminate, fm_quality, html_extract, line_dedup, mixing, pii, quality_rules, quotes, simhash, token_count
 from seqloom.llm import oracles as sql
 
 
@@ -29,17 +29,33 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", _sha(F.col("text")).alias("kept_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    machine = fm_quality.train(docs, _read(spark, sf_dir, "labels"), "doc_id", "text", "quality", ("n_chars",))
+    return fm_quality.score_documents(docs, machine, metadata=("n_chars",))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_pii(_read(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
     return out.select("doc_id", *counts, _sha(pii.listed(F.col("base"))).alias("base_sha256"), pii.listed(F.concat("base", "added")).alias("spans"))
 
 
+def op5_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quotes.link_quotes(_read(spark, sf_dir, "conversations"))
+    return out.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "/"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_components(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    return html_extract.main_text(pages, html_extract.train(pages))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,8 +72,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
+    "op3_quality": op3_quality,
     "op4_pii": op4_pii,
+    "op5_quotes": op5_quotes,
     "op6_simhash": op6_simhash,
+    "op7_html_text": op7_html_text,
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
