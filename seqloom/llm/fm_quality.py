@@ -136,8 +136,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(n, row, cell, weight), -35, 35)))
 
 
-def fit(n: int, row: np.ndarray, cell: np.ndarray, weight: np.ndarray, label: np.ndarray, size: int, *, epochs: int = 12, batch: int = 256, rate: float = 0.08, decay: float = 2e-4, seed: int = 7) -> Machine:
-    """Mini-batch AdaGrad on the logistic loss; label: share of good labels, 0 to 1."""
+def fit(n: int, row: np.ndarray, cell: np.ndarray, weight: np.ndarray, label: np.ndarray, size: int, *, steps: int = 560, rate: float = 0.08, decay: float = 2e-4, seed: int = 7) -> Machine:
+    """Mini-batch AdaGrad on the logistic loss, 12 times over all rows and `steps` batches at least; label: share of good labels, 0 to 1."""
     share = float(label.mean()) if n else 0.5
     if not n or share in (0.0, 1.0):
         share = min(max(share, 1e-6), 1 - 1e-6)
@@ -148,7 +148,8 @@ def fit(n: int, row: np.ndarray, cell: np.ndarray, weight: np.ndarray, label: np
     v = random.normal(0, 0.02, (size, FACTORS)).astype(np.float32)
     gw, gv, gb = np.full(size, 1e-6, np.float32), np.full((size, FACTORS), 1e-6, np.float32), 1e-6
     starts = np.searchsorted(row, np.arange(n + 1))
-    for _ in range(epochs):
+    batch = min(256, max(16, n // 32))
+    for _ in range(max(12, -(-steps * batch // n))):
         for part in np.array_split(random.permutation(n), max(1, n // batch)):
             x = np.zeros((len(part), size), np.float32)
             for i, r in enumerate(part):
