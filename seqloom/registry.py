@@ -1,4 +1,582 @@
-"""Named queries over the driver's tables and the same in DuckDB SQL."""
+"""Named queries over the driver's tables and the same in DuckDB SQL.
 
-QUERIES = {}
-ORACLES = {}
+Tables as sequences: `documents` (doc_id, text), `benchmark` (item_id, text), `conversations`
+(conv_id * 1000 + turn, text); DNA is benchmark text with its letters mapped to a, c, g and t in turn and all else
+left out. Every query takes its tables whole.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from seqloom.functions import alphabet, scores
+from seqloom.operators import chain, cluster, complete, extend, filters, intervals, mass, matches, postings, select
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_BASES = "".join("acgt"[i % 4] for i in range(26)) * 2
+
+
+def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet")
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return postings.sequences(_read(spark, d, "documents"), "doc_id", "text")
+
+
+def _bench(spark: SparkSession, d: str) -> DataFrame:
+    return postings.sequences(_read(spark, d, "benchmark"), "item_id", "text")
+
+
+def _conv(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "conversations").withColumn("seqnum", F.col("conv_id") * 1000 + F.col("turn"))
+    return postings.sequences(rows, "seqnum", "text")
+
+
+def _dna(spark: SparkSession, d: str) -> DataFrame:
+    text = F.regexp_replace(F.translate("text", _LETTERS, _BASES), "[^acgt]", "")
+    return postings.sequences(_read(spark, d, "benchmark"), "item_id", "text", seq=text)
+
+
+def _heads(seqs: DataFrame, n: int) -> DataFrame:
+    """The first n characters of each sequence, as patterns."""
+    return seqs.where(F.col("len") >= n).select("seqnum", F.left("seq", F.lit(n)).alias("seq"))
+
+
+# --- SQL pieces ---------------------------------------------------------------------------------------------------
+
+_SEQ = {
+    "docs": "SELECT doc_id AS seqnum, text AS seq FROM documents WHERE text IS NOT NULL",
+    "bench": "SELECT item_id AS seqnum, text AS seq FROM benchmark WHERE text IS NOT NULL",
+    "conv": "SELECT conv_id * 1000 + turn AS seqnum, text AS seq FROM conversations WHERE text IS NOT NULL",
+    "dna": f"SELECT item_id AS seqnum, regexp_replace(translate(text, '{_LETTERS}', '{_BASES}'), '[^acgt]', '', 'g') AS seq FROM benchmark WHERE text IS NOT NULL",
+}
+_SEQ["dnarc"] = f"SELECT seqnum, reverse(translate(seq, 'acgt', 'tgca')) AS seq FROM ({_SEQ['dna']})"
+
+
+def _post(name: str, k: int) -> str:
+    return f"SELECT seqnum, pos, substr(seq, CAST(pos + 1 AS INT), {k}) AS km FROM (SELECT seqnum, seq, unnest(range(0, length(seq) - {k} + 1)) AS pos FROM ({_SEQ[name]}) WHERE length(seq) >= {k}) WHERE NOT contains(substr(seq, CAST(pos + 1 AS INT), {k}), '#')"
+
+
+def _islands(pairs: str, k: int) -> str:
+    return f"""SELECT seq1, min(pos1) AS pos1, seq2, min(pos2) AS pos2, count(*) + {k - 1} AS len
+        FROM (SELECT *, pos2 - pos1 AS diag, pos1 - row_number() OVER (PARTITION BY seq1, seq2, pos2 - pos1 ORDER BY pos1) AS run FROM ({pairs}))
+        GROUP BY seq1, seq2, diag, run"""
+
+
+def _mem(a: str, b: str, k: int) -> str:
+    return _islands(f"SELECT x.seqnum AS seq1, x.pos AS pos1, y.seqnum AS seq2, y.pos AS pos2 FROM ({_post(a, k)}) x JOIN ({_post(b, k)}) y ON x.km = y.km", k)
+
+
+def _selfm(a: str, k: int, same: bool = False) -> str:
+    cond = "x.seqnum = y.seqnum AND x.pos < y.pos" if same else "(x.seqnum, x.pos) < (y.seqnum, y.pos)"
+    return _islands(f"SELECT x.seqnum AS seq1, x.pos AS pos1, y.seqnum AS seq2, y.pos AS pos2 FROM ({_post(a, k)}) x JOIN ({_post(a, k)}) y ON x.km = y.km AND {cond}", k)
+
+
+def _abs(name: str) -> str:
+    return f"SELECT seqnum, CAST(length(seq) AS BIGINT) AS len, CAST(coalesce(sum(length(seq) + 1) OVER (ORDER BY seqnum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS abs_start FROM ({_SEQ[name]})"
+
+
+def _components(edges: str) -> str:
+    """WITH RECURSIVE parts: edges (a, b), cc (elem, cluster)."""
+    return f"""edges AS ({edges}), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+    walk(elem, root) AS (SELECT a, a FROM both_ways UNION SELECT e.b, w.root FROM walk w JOIN both_ways e ON e.a = w.elem),
+    cc AS (SELECT elem, min(root) AS cluster FROM walk GROUP BY elem)"""
+
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# --- sequences and k-mers -----------------------------------------------------------------------------------------
+
+
+@_query("seq_length_stats", f"SELECT count(*) AS n, min(length(seq))::BIGINT AS shortest, max(length(seq))::BIGINT AS longest, avg(length(seq)) AS average, sum(length(seq))::BIGINT AS total FROM ({_SEQ['docs']})")
+def _(spark, d):
+    return select.length_statistics(_docs(spark, d))
+
+
+@_query("seq_length_distribution", f"SELECT length(seq)::BIGINT AS len, count(*) AS cnt FROM ({_SEQ['docs']}) GROUP BY 1")
+def _(spark, d):
+    return select.length_distribution(_docs(spark, d))
+
+
+@_query("seq_select_length", f"SELECT seqnum, length(seq)::BIGINT AS len FROM ({_SEQ['docs']}) WHERE length(seq) BETWEEN 500 AND 1500")
+def _(spark, d):
+    return select.by_length(_docs(spark, d), 500, 1500).select("seqnum", "len")
+
+
+@_query("seq_select_number", f"SELECT seqnum, length(seq)::BIGINT AS len FROM ({_SEQ['docs']}) WHERE seqnum IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def _(spark, d):
+    return select.by_number(_docs(spark, d), _read(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("seqnum"))).select("seqnum", "len")
+
+
+@_query("seq_select_desc", "SELECT doc_id AS seqnum, source || ' ' || lang AS description FROM documents WHERE regexp_matches(source || ' ' || lang, '^src1.* (de|fr)$')")
+def _(spark, d):
+    rows = _read(spark, d, "documents").select(F.col("doc_id").alias("seqnum"), F.concat_ws(" ", "source", "lang").alias("description"))
+    return select.by_description(rows, "^src1.* (de|fr)$")
+
+
+@_query("seq_longest", f"SELECT seqnum, length(seq)::BIGINT AS len FROM ({_SEQ['docs']}) ORDER BY length(seq) DESC, seqnum LIMIT 2")
+def _(spark, d):
+    return select.longest(_docs(spark, d)).select("seqnum", "len")
+
+
+@_query("seq_absolute", _abs("docs"))
+def _(spark, d):
+    return matches.absolute(_docs(spark, d)).select("seqnum", "len", "abs_start")
+
+
+@_query(
+    "subseq_select",
+    f"SELECT seqnum, greatest(0, 10000 - abs_start)::BIGINT AS start, substr(seq, greatest(0, 10000 - abs_start)::INT + 1, (least(len, 60001 - abs_start) - greatest(0, 10000 - abs_start))::INT) AS seq FROM ({_abs('docs')}) JOIN ({_SEQ['docs']}) USING (seqnum) WHERE abs_start <= 60000 AND abs_start + len > 10000",
+)
+def _(spark, d):
+    return select.absolute_range(_docs(spark, d), 10_000, 60_000)
+
+
+@_query("reverse_complement", f"SELECT seqnum, seq, reverse(translate(seq, 'acgt', 'tgca')) AS rc FROM ({_SEQ['dna']})")
+def _(spark, d):
+    return _dna(spark, d).select("seqnum", "seq", alphabet.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@_query("kmer_count", f"SELECT km AS kmer, count(*) AS cnt FROM ({_post('docs', 12)}) GROUP BY km HAVING count(*) >= 20")
+def _(spark, d):
+    return postings.kmer_counts(_docs(spark, d), 12, 20)
+
+
+@_query("kmer_occratio", " UNION ALL ".join(f"SELECT {k}::BIGINT AS k, count(*) FILTER (c = 1) AS uniq, count(*) FILTER (c > 1) AS nonuniq, coalesce(sum(c) FILTER (c > 1), 0)::BIGINT AS nonuniqmulti, sum(c)::BIGINT AS total FROM (SELECT km, count(*) AS c FROM ({_post('conv', k)}) GROUP BY km)" for k in range(4, 9)))
+def _(spark, d):
+    return postings.occurrence_ratio(_conv(spark, d), 4, 8)
+
+
+@_query("kmer_search", f"WITH q AS ({_post('bench', 16)}), c AS (SELECT km, count(*) AS cnt FROM ({_post('docs', 16)}) GROUP BY km) SELECT seqnum, pos, q.km AS kmer, cnt FROM q JOIN c ON q.km = c.km")
+def _(spark, d):
+    return postings.kmer_search(_docs(spark, d), _bench(spark, d), 16)
+
+
+@_query("kmer_code", f"SELECT seqnum, pos, km AS kmer, list_sum([CASE substr(km, i, 1) WHEN 'a' THEN 0 WHEN 'c' THEN 1 WHEN 'g' THEN 2 ELSE 3 END * (4 ** (8 - i)) FOR i IN range(1, 9)])::BIGINT AS code, km AS back FROM ({_post('dna', 8)})")
+def _(spark, d):
+    code = alphabet.kmer_code(F.col("kmer"))
+    return postings.windows(_dna(spark, d), 8).select("seqnum", "pos", "kmer", code.alias("code"), alphabet.kmer_text(code, 8).alias("back"))
+
+
+# --- exact matches --------------------------------------------------------------------------------------------------
+
+
+@_query("mem_doc_benchmark", _mem("docs", "bench", 40))
+def _(spark, d):
+    return matches.query_matches(_docs(spark, d), _bench(spark, d), 40)
+
+
+@_query("mem_self_repeats", _selfm("conv", 40))
+def _(spark, d):
+    return matches.self_matches(_conv(spark, d), 40)
+
+
+@_query("repeat_length_histogram", f"SELECT len AS length, count(*) AS cnt FROM ({_selfm('conv', 20)}) GROUP BY len")
+def _(spark, d):
+    return matches.length_histogram(matches.self_matches(_conv(spark, d), 20))
+
+
+_GAP = f"SELECT m.*, (b.abs_start + pos2 - (a.abs_start + pos1 + m.len))::BIGINT AS gap FROM ({_selfm('conv', 20)}) m JOIN ({_abs('conv')}) a ON a.seqnum = seq1 JOIN ({_abs('conv')}) b ON b.seqnum = seq2"
+
+
+@_query("repeat_bounded_gap", f"SELECT * FROM ({_GAP}) WHERE gap BETWEEN 0 AND 3000")
+def _(spark, d):
+    conv = _conv(spark, d)
+    return matches.with_gap(matches.self_matches(conv, 20), conv).where("gap BETWEEN 0 AND 3000")
+
+
+@_query(
+    "supermaximal_repeats",
+    f"""WITH m AS MATERIALIZED ({_selfm('bench', 16)}), t AS MATERIALIZED (SELECT m.*, substr(seq, (pos1 + 1)::INT, len::INT) AS w FROM m JOIN ({_SEQ['bench']}) ON seqnum = seq1),
+    strings AS MATERIALIZED (SELECT DISTINCT w FROM t), inner_ AS (SELECT DISTINCT a.w FROM strings a JOIN strings b ON length(b.w) > length(a.w) AND contains(b.w, a.w))
+    SELECT seq1, pos1, seq2, pos2, len FROM t WHERE w NOT IN (SELECT w FROM inner_)""",
+)
+def _(spark, d):
+    return matches.supermaximal_repeats(_bench(spark, d), 16)
+
+
+@_query(
+    "tandem_repeats",
+    f"""SELECT seqnum, p - 1 AS pos, h::BIGINT AS period FROM (SELECT seqnum, seq, unnest(range(1, length(seq) + 1)) AS p FROM ({_SEQ['conv']})), (SELECT unnest(range(4, 41)) AS h)
+    WHERE p + 2 * h - 1 <= length(seq) AND substr(seq, p::INT, h::INT) = substr(seq, (p + h)::INT, h::INT) AND NOT contains(substr(seq, p::INT, h::INT), '#')
+      AND (p + 2 * h > length(seq) OR substr(seq, p::INT, 1) <> substr(seq, (p + 2 * h)::INT, 1))""",
+)
+def _(spark, d):
+    found = matches.self_matches(_conv(spark, d), 4, within=True)
+    return matches.tandem_repeats(found, 4).where("period <= 40")
+
+
+_MUM_COUNT = "(SELECT count(*) FROM ({s}) s, unnest(range(0, length(s.seq) - f.len + 1)) AS u(p) WHERE length(s.seq) >= f.len AND substr(s.seq, (p + 1)::INT, f.len::INT) = f.w)"
+
+
+def _occurrences(name: str) -> str:
+    """How often each string w of f is in the sequences, overlapping ones counted."""
+    return f"""SELECT f.w, count(*) AS n FROM (SELECT DISTINCT w, len FROM f) f JOIN ({_post(name, 12)}) p ON p.km = substr(f.w, 1, 12) JOIN ({_SEQ[name]}) s ON s.seqnum = p.seqnum
+        WHERE substr(s.seq, (p.pos + 1)::INT, f.len::INT) = f.w GROUP BY f.w"""
+
+
+_MUM = f"WITH f AS MATERIALIZED (SELECT m.*, substr(seq, (pos1 + 1)::INT, len::INT) AS w FROM ({_mem('conv', 'bench', 12)}) m JOIN ({_SEQ['conv']}) ON seqnum = seq1), a AS ({_occurrences('conv')}), b AS ({_occurrences('bench')})"
+
+
+@_query("mum_candidates", f"{_MUM} SELECT seq1, pos1, seq2, pos2, len FROM f JOIN a USING (w) WHERE a.n = 1")
+def _(spark, d):
+    return matches.mum_candidates(_conv(spark, d), _bench(spark, d), 12)
+
+
+@_query("mum", f"{_MUM} SELECT seq1, pos1, seq2, pos2, len FROM f JOIN a USING (w) JOIN b USING (w) WHERE a.n = 1 AND b.n = 1")
+def _(spark, d):
+    return matches.mums(_conv(spark, d), _bench(spark, d), 12)
+
+
+_PAL = f"SELECT seq1, pos1, seq2, (length(seq) - pos2 - len)::BIGINT AS pos2, len FROM ({_mem('dna', 'dnarc', 10)}) JOIN ({_SEQ['dna']}) ON seqnum = seq2"
+
+
+@_query("palindromic_mem", _PAL)
+def _(spark, d):
+    return matches.palindromic_query_matches(_dna(spark, d), _dna(spark, d), 10)
+
+
+@_query("palindromic_self", f"SELECT * FROM ({_PAL}) WHERE (seq1, pos1) <= (seq2, pos2)")
+def _(spark, d):
+    return matches.palindromic_self_matches(_dna(spark, d), 10)
+
+
+@_query("all_strands", f"SELECT *, 'D' AS mode FROM ({_mem('dna', 'dna', 18)}) UNION ALL SELECT *, 'P' AS mode FROM ({_PAL}) WHERE len >= 18")
+def _(spark, d):
+    return matches.all_strands(_dna(spark, d), _dna(spark, d), 18)
+
+
+# --- whole patterns ---------------------------------------------------------------------------------------------------
+
+
+def _heads_sql(name: str, n: int) -> str:
+    return f"SELECT seqnum AS seq2, substr(seq, 1, {n}) AS pat FROM ({_SEQ[name]}) WHERE length(seq) >= {n}"
+
+
+@_query("complete_exact", f"SELECT p.seqnum AS seq1, pos AS pos1, 20::BIGINT AS len1, seq2, 0::BIGINT AS distance FROM ({_post('docs', 20)}) p JOIN ({_heads_sql('bench', 20)}) ON km = pat")
+def _(spark, d):
+    return complete.exact(_docs(spark, d), _heads(_bench(spark, d), 20))
+
+
+def _hamming_sql(n: int, k: int) -> str:
+    off = f"list_sum([CASE WHEN substr(km, i, 1) <> substr(pat, i, 1) OR substr(km, i, 1) = '#' THEN 1 ELSE 0 END FOR i IN range(1, {n + 1})])"
+    window = f"SELECT seqnum, pos, substr(seq, (pos + 1)::INT, {n}) AS km FROM (SELECT seqnum, seq, unnest(range(0, length(seq) - {n} + 1)) AS pos FROM ({_SEQ['dna']}) WHERE length(seq) >= {n})"
+    return f"SELECT * FROM (SELECT w.seqnum AS seq1, pos AS pos1, {n}::BIGINT AS len1, seq2, -({off})::BIGINT AS distance FROM ({window}) w, ({_heads_sql('dna', n)})) WHERE distance >= -{k}"
+
+
+@_query("complete_hamming", _hamming_sql(16, 3))
+def _(spark, d):
+    return complete.hamming(_dna(spark, d), _heads(_dna(spark, d), 16), 3)
+
+
+@_query("complete_hamming_percent", _hamming_sql(20, 3))
+def _(spark, d):
+    return complete.hamming(_dna(spark, d), _heads(_dna(spark, d), 20), 15, percent=True)
+
+
+@_query("complete_hamming_best", f"SELECT * FROM ({_hamming_sql(16, 3)}) QUALIFY distance = max(distance) OVER (PARTITION BY seq2)")
+def _(spark, d):
+    return complete.hamming(_dna(spark, d), _heads(_dna(spark, d), 16), 3, best=True)
+
+
+@_query("complete_edit")
+def _(spark, d):
+    return complete.edit(_dna(spark, d), _heads(_dna(spark, d), 18), 2)
+
+
+@_query("complete_edit_remred")
+def _(spark, d):
+    return complete.without_redundant(complete.edit(_dna(spark, d), _heads(_dna(spark, d), 18), 2))
+
+
+@_query("complete_regexp", f"SELECT seq1, pos1, length(t)::BIGINT AS len1, 0::BIGINT AS seq2, 0::BIGINT AS distance FROM (SELECT seqnum AS seq1, pos AS pos1, regexp_extract(substr(seq, (pos + 1)::INT), '^(?:gatt?[ac]{{2,}}g)') AS t FROM (SELECT seqnum, seq, unnest(range(0, length(seq))) AS pos FROM ({_SEQ['dna']}))) WHERE t <> ''")
+def _(spark, d):
+    return complete.regular_expressions(_dna(spark, d), spark.range(1).select(F.col("id").cast("long").alias("seqnum"), F.lit("gatt?[ac]{2,}g").alias("seq")))
+
+
+# --- scores, filters, orders --------------------------------------------------------------------------------------------
+
+_N = f"(SELECT (sum(length(seq) + 1) - 1)::DOUBLE FROM ({_SEQ['conv']}))"
+_SCORED = f"SELECT m.*, 2 * len AS score, 100.0::DOUBLE AS identity, round((len * ln(1.0 / 26) + 2 * ln(1 - 1.0 / 26) + ln(0.5 * {_N} * {_N})) / ln(10), 6) AS log10_evalue FROM ({_selfm('conv', 30)}) m"
+
+
+def _scored(spark, d) -> DataFrame:
+    conv = _conv(spark, d)
+    n = conv.agg((F.sum(F.col("len") + 1) - 1).cast("double").alias("__n"))
+    found = filters.exact_columns(matches.self_matches(conv, 30)).crossJoin(F.broadcast(n))
+    return filters.score_columns(found, scores.multiplier_self(F.col("__n")), 26)
+
+
+@_query("match_score_identity_evalue", _SCORED)
+def _(spark, d):
+    rows = _scored(spark, d)
+    log = scores.log_evalue(F.col("len"), F.lit(0).cast("long"), scores.multiplier_self(F.col("__n")), 26)
+    return rows.select("seq1", "pos1", "seq2", "pos2", "len", "score", "identity", F.round(log / F.log(F.lit(10.0)), 6).alias("log10_evalue"))
+
+
+@_query("match_filter_evalue", f"SELECT seq1, pos1, seq2, pos2, len FROM ({_SCORED}) WHERE log10_evalue <= -40")
+def _(spark, d):
+    return filters.keep(_scored(spark, d), evalue=1e-40).select("seq1", "pos1", "seq2", "pos2", "len")
+
+
+@_query("match_filter_score", f"SELECT seq1, pos1, seq2, pos2, len FROM ({_SCORED}) WHERE score >= 80 AND identity >= 95")
+def _(spark, d):
+    return filters.keep(_scored(spark, d), score=80, identity=95, length=35).select("seq1", "pos1", "seq2", "pos2", "len")
+
+
+@_query("best_k_matches", f"SELECT seq1, pos1, seq2, pos2, len FROM ({_SCORED}) ORDER BY len DESC, seq1, pos1, seq2, pos2 LIMIT 50")
+def _(spark, d):
+    return filters.best(_scored(spark, d), 50).select("seq1", "pos1", "seq2", "pos2", "len")
+
+
+@_query("sorted_matches", f"SELECT seq1, pos1, seq2, pos2, len FROM ({_SCORED}) ORDER BY len DESC, seq1, pos1, seq2, pos2")
+def _(spark, d):
+    return filters.ordered(_scored(spark, d), "ld").select("seq1", "pos1", "seq2", "pos2", "len")
+
+
+_FOUND = f"SELECT seq1, pos1, len AS len1, seq2, pos2, len AS len2 FROM ({_mem('conv', 'bench', 8)})"
+
+
+@_query(
+    "remove_contained",
+    f"WITH m AS MATERIALIZED ({_FOUND}) SELECT * FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE a.seq1 = b.seq1 AND a.seq2 = b.seq2 AND b.pos1 <= a.pos1 AND b.pos1 + b.len1 >= a.pos1 + a.len1 AND b.pos2 <= a.pos2 AND b.pos2 + b.len2 >= a.pos2 + a.len2 AND (a.pos1, a.len1, a.pos2, a.len2) <> (b.pos1, b.len1, b.pos2, b.len2))",
+)
+def _(spark, d):
+    found = filters.exact_columns(matches.query_matches(_conv(spark, d), _bench(spark, d), 8))
+    return filters.without_contained(found.select("seq1", "pos1", "len1", "seq2", "pos2", "len2"))
+
+
+@_query("hamming_distance", f"SELECT a.seq2 AS a, b.seq2 AS b, list_sum([CASE WHEN substr(a.pat, i, 1) <> substr(b.pat, i, 1) THEN 1 ELSE 0 END FOR i IN range(1, 41)])::BIGINT AS distance, levenshtein(a.pat, b.pat)::BIGINT AS edits FROM ({_heads_sql('dna', 40)}) a JOIN ({_heads_sql('dna', 40)}) b ON b.seq2 = a.seq2 + 1")
+def _(spark, d):
+    heads = _heads(_dna(spark, d), 40)
+    both = heads.alias("a").join(heads.alias("b"), F.col("b.seqnum") == F.col("a.seqnum") + 1)
+    return both.select(F.col("a.seqnum").alias("a"), F.col("b.seqnum").alias("b"), scores.hamming(F.col("a.seq"), F.col("b.seq")).cast("long").alias("distance"), F.levenshtein("a.seq", "b.seq").cast("long").alias("edits"))
+
+
+@_query("abbreviated_mismatch", f"SELECT a.seq2 AS a, list_aggregate([CASE WHEN substr(a.pat, i, 1) = substr(b.pat, i, 1) THEN substr(a.pat, i, 1) ELSE '[' || substr(a.pat, i, 1) || substr(b.pat, i, 1) || ']' END FOR i IN range(1, 25)], 'string_agg', '') AS text FROM ({_heads_sql('dna', 24)}) a JOIN ({_heads_sql('dna', 24)}) b ON b.seq2 = a.seq2 + 1")
+def _(spark, d):
+    heads = _heads(_dna(spark, d), 24)
+    both = heads.alias("a").join(heads.alias("b"), F.col("b.seqnum") == F.col("a.seqnum") + 1)
+    return both.select(F.col("a.seqnum").alias("a"), scores.abbreviated(F.col("a.seq"), F.col("b.seq")).alias("text"))
+
+
+# --- intervals ------------------------------------------------------------------------------------------------------------
+
+_MARK = f"SELECT seq1 AS seqnum, pos1 AS s, pos1 + len AS e FROM ({_mem('conv', 'bench', 12)})"
+_MERGED = f"""SELECT seqnum, min(s) AS start, max(e) AS "end" FROM (SELECT *, sum(CASE WHEN s <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY seqnum ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run
+    FROM (SELECT *, max(e) OVER (PARTITION BY seqnum ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT * FROM ({{marks}})))) GROUP BY seqnum, run"""
+
+
+def _marks(spark, d, side: str = "left") -> DataFrame:
+    return intervals.marked(matches.query_matches(_conv(spark, d), _bench(spark, d), 12), side)
+
+
+@_query("merge_regions", _MERGED.format(marks=_MARK))
+def _(spark, d):
+    return intervals.merged(_marks(spark, d))
+
+
+def _gaps_sql(name: str, marks: str, least: int) -> str:
+    return f"""WITH m AS ({_MERGED.format(marks=marks)}), x AS (SELECT seqnum, start, "end" AS e FROM m UNION ALL SELECT seqnum, length(seq), length(seq) FROM ({_SEQ[name]})),
+    y AS (SELECT seqnum, coalesce(lag(e) OVER (PARTITION BY seqnum ORDER BY start, e), 0) AS a, start AS b FROM x)
+    SELECT seqnum, a::BIGINT AS start, (b - a)::BIGINT AS len FROM y WHERE b - a >= {least}"""
+
+
+@_query("dbnomatch", _gaps_sql("conv", _MARK, 30))
+def _(spark, d):
+    return intervals.unmatched(_conv(spark, d), _marks(spark, d), 30)
+
+
+@_query("qnomatch", _gaps_sql("bench", f"SELECT seq2 AS seqnum, pos2 AS s, pos2 + len AS e FROM ({_mem('conv', 'bench', 12)})", 10))
+def _(spark, d):
+    return intervals.unmatched(_bench(spark, d), _marks(spark, d, "right"), 10)
+
+
+_COVER = f"SELECT seqnum, unnest(range(s, e)) AS p FROM ({_MARK})"
+
+
+@_query("mask_coverage", f"SELECT seqnum, length(seq)::BIGINT AS len, coalesce(n, 0)::BIGINT AS masked FROM ({_SEQ['conv']}) LEFT JOIN (SELECT seqnum, count(DISTINCT p) AS n FROM ({_COVER}) GROUP BY seqnum) USING (seqnum)")
+def _(spark, d):
+    conv = _conv(spark, d)
+    return intervals.masked(conv, _marks(spark, d)).select("seqnum", F.length("seq").cast("long").alias("len"), "masked")
+
+
+@_query("mask_text", f"WITH c AS (SELECT DISTINCT * FROM ({_COVER})), ch AS (SELECT seqnum, substr(seq, (p + 1)::INT, 1) AS c, p FROM (SELECT seqnum, seq, unnest(range(0, length(seq))) AS p FROM ({_SEQ['conv']}))) SELECT seqnum, md5(string_agg(CASE WHEN c.p IS NULL THEN ch.c ELSE 'X' END, '' ORDER BY ch.p)) AS digest FROM ch LEFT JOIN c ON ch.seqnum = c.seqnum AND ch.p = c.p GROUP BY ch.seqnum".replace("SELECT seqnum, md5", "SELECT ch.seqnum AS seqnum, md5"))
+def _(spark, d):
+    return intervals.masked(_conv(spark, d).where("len > 0"), _marks(spark, d)).select("seqnum", F.md5("seq").alias("digest"))
+
+
+# --- clusters ---------------------------------------------------------------------------------------------------------------
+
+_EDGES = f"""SELECT DISTINCT least(seq1, seq2) AS a, greatest(seq1, seq2) AS b FROM ({_selfm('conv', 40)}) m JOIN ({_SEQ['conv']}) x ON x.seqnum = seq1 JOIN ({_SEQ['conv']}) y ON y.seqnum = seq2
+    WHERE seq1 <> seq2 AND len >= floor(least(length(x.seq), length(y.seq)) * 30 / 100) AND len >= floor(greatest(length(x.seq), length(y.seq)) * 10 / 100)"""
+_CLUSTERS = f"WITH RECURSIVE {_components(_EDGES)}, cl AS (SELECT seqnum, length(seq)::BIGINT AS len, coalesce(cluster, seqnum) AS cluster FROM ({_SEQ['conv']}) LEFT JOIN cc ON elem = seqnum)"
+
+
+def _clusters(spark, d) -> DataFrame:
+    conv = _conv(spark, d)
+    return cluster.sequence_clusters(filters.exact_columns(matches.self_matches(conv, 40)), conv, 30, 10)
+
+
+@_query("seq_cluster", f"{_CLUSTERS} SELECT seqnum, cluster FROM cl")
+def _(spark, d):
+    return _clusters(spark, d)
+
+
+@_query("nonredundant", f"{_CLUSTERS} SELECT seqnum, cluster, len FROM cl QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY len DESC, seqnum) = 1")
+def _(spark, d):
+    return cluster.non_redundant(_clusters(spark, d), _conv(spark, d))
+
+
+@_query("cluster_size_distribution", f"{_CLUSTERS} SELECT size, count(*) AS clusters FROM (SELECT cluster, count(*) AS size FROM cl GROUP BY cluster) GROUP BY size")
+def _(spark, d):
+    return cluster.size_distribution(_clusters(spark, d))
+
+
+_NUMBERED = f"SELECT row_number() OVER (ORDER BY seq1, pos1, seq2, pos2) AS match_id, seq1, pos1, len AS len1, seq2, pos2, len AS len2 FROM ({_selfm('bench', 11)})"
+_INSTANCES = "inst AS MATERIALIZED (SELECT match_id, seq1 AS s, pos1 AS a, pos1 + len1 AS b FROM m UNION ALL SELECT match_id, seq2, pos2, pos2 + len2 FROM m)"
+
+
+def _numbered(spark, d) -> DataFrame:
+    found = filters.exact_columns(matches.self_matches(_bench(spark, d), 11))
+    return found.withColumn("match_id", F.row_number().over(Window.orderBy("seq1", "pos1", "seq2", "pos2")).cast("long"))
+
+
+def _match_clusters_sql(linked: str) -> str:
+    edges = f"SELECT DISTINCT x.match_id AS a, y.match_id AS b FROM inst x JOIN inst y ON x.match_id < y.match_id AND {linked}"
+    return f"WITH RECURSIVE m AS MATERIALIZED ({_NUMBERED}), {_INSTANCES}, {_components(edges)} SELECT match_id, coalesce(cluster, match_id) AS cluster FROM m LEFT JOIN cc ON elem = match_id"
+
+
+@_query("matchcluster_gap", _match_clusters_sql("x.s = y.s AND greatest(x.a, y.a) - least(x.b, y.b) <= 10"))
+def _(spark, d):
+    return cluster.clusters_by_gap(_numbered(spark, d), 10)
+
+
+@_query("matchcluster_overlap", _match_clusters_sql("x.s = y.s AND least(x.b, y.b) > greatest(x.a, y.a) AND 100 * (least(x.b, y.b) - greatest(x.a, y.a)) >= 60 * greatest(x.b - x.a, y.b - y.a)"))
+def _(spark, d):
+    return cluster.clusters_by_overlap(_numbered(spark, d), 60)
+
+
+@_query(
+    "matchcluster_similarity",
+    f"""WITH RECURSIVE m AS MATERIALIZED ({_NUMBERED}), inst AS MATERIALIZED (SELECT match_id, n, l, substr(seq, (p + 1)::INT, n::INT) AS t FROM (SELECT match_id, seq1 AS s, pos1 AS p, len1 AS n, least(len1, len2) AS l FROM m UNION ALL SELECT match_id, seq2, pos2, len2, least(len1, len2) FROM m) JOIN ({_SEQ['bench']}) ON seqnum = s),
+    {_components("SELECT DISTINCT x.match_id AS a, y.match_id AS b FROM inst x JOIN inst y ON x.match_id < y.match_id AND abs(x.n - y.n) <= floor(least(x.l, y.l) * 10 / 100) AND levenshtein(x.t, y.t) <= floor(least(x.l, y.l) * 10 / 100)")}
+    SELECT match_id, coalesce(cluster, match_id) AS cluster FROM m LEFT JOIN cc ON elem = match_id""",
+)
+def _(spark, d):
+    return cluster.clusters_by_similarity(_numbered(spark, d), _bench(spark, d), 10)
+
+
+# --- user functions of matches ------------------------------------------------------------------------------------------------
+
+_CB = _mem("conv", "bench", 12)
+
+
+@_query("rightmost_match", f"SELECT seq1, pos1, seq2, pos2, len FROM ({_CB}) QUALIFY row_number() OVER (PARTITION BY seq1 ORDER BY pos1 DESC, seq2, pos2, len DESC) = 1")
+def _(spark, d):
+    return select.rightmost(matches.query_matches(_conv(spark, d), _bench(spark, d), 12))
+
+
+@_query("dbseq_multi_query", f"SELECT seq1, count(DISTINCT seq2) AS queries FROM ({_CB}) GROUP BY seq1 HAVING count(DISTINCT seq2) >= 2")
+def _(spark, d):
+    return select.hit_by_several(matches.query_matches(_conv(spark, d), _bench(spark, d), 12))
+
+
+_SHARE = " * ".join(f"((length(w) - length(replace(w, '{c}', '')))::DOUBLE / length(w))" for c in "acgt")
+
+
+@_query("lowcomplex_filter", f"SELECT seq1, pos1, seq2, pos2, len FROM (SELECT m.*, substr(seq, (pos1 + 1)::INT, len::INT) AS w FROM ({_selfm('dna', 10)}) m JOIN ({_SEQ['dna']}) ON seqnum = seq1) WHERE {_SHARE} >= 0.002")
+def _(spark, d):
+    dna = _dna(spark, d)
+    found = matches.match_text(matches.self_matches(dna, 10), dna)
+    return found.where(scores.low_complexity(F.col("text")) >= 0.002).drop("text")
+
+
+@_query("mass_search", "WITH i AS (SELECT l_orderkey, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS line FROM lineitem), s AS (SELECT *, sum(q) OVER (PARTITION BY l_orderkey ORDER BY line) AS c FROM i) SELECT a.l_orderkey, a.line AS first, b.line AS last FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND b.c - a.c + a.q = 60 AND b.line >= a.line")
+def _(spark, d):
+    line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).cast("long")
+    return mass.mass_search(_read(spark, d, "lineitem").withColumn("line", line), "l_orderkey", "line", "l_quantity", 60)
+
+
+@_query("multi_exact", f"WITH p AS MATERIALIZED ({_post('bench', 1)}) SELECT km AS kmer, seqnum, pos FROM p WHERE km IN (SELECT km FROM p GROUP BY km HAVING count(DISTINCT seqnum) = (SELECT count(DISTINCT seqnum) FROM ({_SEQ['bench']})))")
+def _(spark, d):
+    return matches.multi_matches(_bench(spark, d), 1)
+
+
+# --- translated matches, chains, extensions: no SQL, tested against brute force ---------------------------------------------------
+
+
+@_query("sixframe_match")
+def _(spark, d):
+    six = alphabet.six_frames(_dna(spark, d))
+    prot = six.withColumn("seqnum", F.col("seqnum") * 6 + F.col("frame")).select("seqnum", "seq", "dna_len")
+    found = matches.self_matches(prot, 7)
+    out = found
+    for i in (1, 2):
+        own = six.select((F.col("seqnum") * 6 + F.col("frame")).alias(f"seq{i}"), F.col("dna_len").alias(f"__n{i}"))
+        out = out.join(own, f"seq{i}")
+    place = lambda i: alphabet.frame_to_dna(F.col(f"seq{i}") % 6, F.col(f"pos{i}"), F.col("len"), F.col(f"__n{i}"))
+    return out.select(F.floor(F.col("seq1") / 6).alias("seq1"), place(1).alias("pos1"), F.floor(F.col("seq2") / 6).alias("seq2"), place(2).alias("pos2"), (F.col("len") * 3).alias("len"), (F.col("seq1") % 6).alias("frame1"), (F.col("seq2") % 6).alias("frame2"))
+
+
+def _fragments(spark, d) -> DataFrame:
+    return matches.query_matches(_conv(spark, d), _bench(spark, d), 8).select("seq1", "seq2", F.col("pos1").alias("start1"), (F.col("pos1") + F.col("len") - 1).alias("end1"), F.col("pos2").alias("start2"), (F.col("pos2") + F.col("len") - 1).alias("end2"), F.col("len").cast("double").alias("weight"))
+
+
+def _chain_query(name: str, mode: chain.ChainMode) -> None:
+    _query(name)(lambda spark, d: chain.chains(_fragments(spark, d), ["seq1", "seq2"], mode))
+
+
+_chain_query("chain_global", chain.ChainMode("global"))
+_chain_query("chain_global_gc", chain.ChainMode("gap_cost"))
+_chain_query("chain_global_ov", chain.ChainMode("overlaps"))
+_chain_query("chain_local", chain.ChainMode("local", ("percent", 20)))
+
+
+def _seeds(spark, d) -> tuple[DataFrame, DataFrame]:
+    dna = _dna(spark, d)
+    return matches.self_matches(dna, 10), dna
+
+
+@_query("extend_hamming")
+def _(spark, d):
+    seeds, dna = _seeds(spark, d)
+    return extend.extend_hamming(seeds, dna, dna, 18, 2)
+
+
+@_query("extend_edit")
+def _(spark, d):
+    seeds, dna = _seeds(spark, d)
+    return extend.extend_edit(seeds, dna, dna, 18, 2)
+
+
+@_query("xdrop_hamming")
+def _(spark, d):
+    seeds, dna = _seeds(spark, d)
+    return extend.extend_xdrop(seeds, dna, dna, 6)
+
+
+@_query("xdrop_edit")
+def _(spark, d):
+    seeds, dna = _seeds(spark, d)
+    return extend.extend_xdrop(seeds, dna, dna, 6, edits=True)
+
+
+@_query("alignment_text")
+def _(spark, d):
+    seeds, dna = _seeds(spark, d)
+    return extend.align(extend.extend_edit(seeds, dna, dna, 18, 2), dna, dna)
