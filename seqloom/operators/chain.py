@@ -1,11 +1,12 @@
 """Chains of colinear fragments (start1, end1, start2, end2, weight), ends included, in each group.
 
-A group, a pair of sequences as a rule, is chained in one grouped Arrow function: its fragments are what two sequences
-share, and chaining is sequential by nature. Every fragment looks at all its possible predecessors, vectorised.
+A group, a pair of sequences as a rule, is chained in one task: its fragments are what two sequences share, and
+chaining is sequential by nature. Groups come sorted, many to an Arrow batch. Every fragment looks at all its possible predecessors, vectorised.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -107,16 +108,28 @@ def chains(fragments: DataFrame, group: list[str], mode: ChainMode) -> DataFrame
     types = {f.name: f.dataType.simpleString() for f in fragments.schema.fields}
     schema = ", ".join(f"`{g}` {types[g]}" for g in group) + ", chain long, score double, step long, start1 long, end1 long, start2 long, end2 long, weight double"
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start1", "start2", "end1", "end2", "weight"]).reset_index(drop=True)
-        rows = []
-        for c, (score, path) in enumerate(best_chains(pdf.start1, pdf.end1, pdf.start2, pdf.end2, pdf.weight, mode)):
-            for step, i in enumerate(path):
-                r = pdf.iloc[i]
-                rows.append((*key, c, score, step, int(r.start1), int(r.end1), int(r.start2), int(r.end2), float(r.weight)))
-        return pd.DataFrame(rows, columns=[*group, "chain", "score", "step", "start1", "end1", "start2", "end2", "weight"])
-
-    return fragments.groupBy(*group).applyInPandas(run, schema)
+    places = ["start1", "start2", "end1", "end2", "weight"]
+    names = [*group, "chain", "score", "step", "start1", "end1", "start2", "end2", "weight"]
+
+    def one(pdf: pd.DataFrame) -> list[tuple]:
+        key = tuple(pdf[g].iloc[0] for g in group)
+        s1, e1, s2, e2, w = (pdf[c].to_numpy() for c in ("start1", "end1", "start2", "end2", "weight"))
+        found = best_chains(s1, e1, s2, e2, w, mode)
+        return [(*key, c, score, step, int(s1[i]), int(e1[i]), int(s2[i]), int(e2[i]), float(w[i])) for c, (score, path) in enumerate(found) for step, i in enumerate(path)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for batch in batches:
+            held = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            change = (held[group] != held[group].shift()).any(axis=1).to_numpy()
+            starts = np.flatnonzero(change)
+            yield pd.DataFrame([row for a, b in zip(starts, starts[1:], strict=False) for row in one(held.iloc[a:b])], columns=names)
+            rest = held.iloc[starts[-1] :] if len(starts) else held  # the last group may go on
+        if rest is not None and len(rest):
+            yield pd.DataFrame(one(rest), columns=names)
+
+    dealt = fragments.select(*group, *places).repartition(*group).sortWithinPartitions(*group, *places)
+    return dealt.mapInPandas(run, schema)
 
 
 def match_fragments(matches: DataFrame) -> DataFrame:
