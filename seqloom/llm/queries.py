@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import decontaminate, fm_quality, html_extract, line_dedup, mixing, pii, quality_rules, quotes, simhash, token_count
@@ -15,7 +15,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _sha(text) -> F.Column:
+def _sha(text: Column | str) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
@@ -37,7 +37,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_pii(_read(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(k) for k in pii.BASE]
     return out.select("doc_id", *counts, _sha(pii.listed(F.col("base"))).alias("base_sha256"), pii.listed(F.concat("base", "added")).alias("spans"))
 
 
