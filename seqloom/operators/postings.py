@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.alphabet import WILDCARD, reverse_complement
 
-#: Characters of a piece; substr() walks from the start of its string, so pieces are kept short.
-PIECE = 256
+#: Characters of a piece, and of the blocks that are cut first; substr() walks from the start of its string, so both are kept short.
+PIECE, BLOCK = 64, 1 << 14
 
 
 def sequences(df: DataFrame, id_col: str, text_col: str, *, seq: Column | None = None) -> DataFrame:
@@ -21,14 +21,22 @@ def sequences(df: DataFrame, id_col: str, text_col: str, *, seq: Column | None =
     return df.select(F.col(id_col).cast("long").alias("seqnum"), text.alias("seq")).where("seq IS NOT NULL AND seqnum IS NOT NULL").withColumn("len", F.length("seq").cast("long"))
 
 
+def spread(seqs: DataFrame) -> DataFrame:
+    """`seqs` over as many partitions as there are cores, where a small file came as fewer."""
+    cores = seqs.sparkSession.sparkContext.defaultParallelism
+    return seqs.repartition(cores) if seqs.rdd.getNumPartitions() < cores else seqs
+
+
+def _cut(rows: DataFrame, k: int, size: int) -> DataFrame:
+    """Rows (seqnum, start, part): overlapping parts that hold each k-mer's first character once in their first `size`."""
+    at = F.sequence(F.lit(0), F.length("part") - k, F.lit(size))
+    long = rows.where(F.length("part") >= k).select("seqnum", "start", "part", F.explode(at).alias("__at"))
+    return long.select("seqnum", (F.col("start") + F.col("__at")).alias("start"), F.substr(F.col("part"), F.col("__at") + 1, F.lit(size + k - 1)).alias("part"))
+
+
 def pieces(seqs: DataFrame, k: int, *, piece: int = PIECE) -> DataFrame:
-    """Rows (seqnum, start, part): overlapping parts that hold each k-mer's first character once in their first `piece`."""
-    starts = F.sequence(F.lit(0).cast("long"), F.length("seq").cast("long") - k, F.lit(piece).cast("long"))
-    return (
-        seqs.where(F.length("seq") >= k)
-        .select("seqnum", "seq", F.explode(starts).alias("start"))
-        .select("seqnum", "start", F.substr(F.col("seq"), (F.col("start") + 1).cast("int"), F.lit(piece + k - 1)).alias("part"))
-    )
+    """Sequences in blocks, and those in pieces."""
+    return _cut(_cut(spread(seqs.select("seqnum", F.lit(0).cast("long").alias("start"), F.col("seq").alias("part"))), k, BLOCK), k, piece)
 
 
 def windows(seqs: DataFrame, k: int, *, piece: int = PIECE) -> DataFrame:
