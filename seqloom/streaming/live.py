@@ -30,7 +30,7 @@ def match_stream(stored: DataFrame, queries: DataFrame, least: int, sink: Callab
     def each(batch: DataFrame, number: int) -> None:
         sink(match_batch(stored, batch, least), number)
 
-    return queries.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
+    return queries.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).start()
 
 
 def hits_by_window(matches: DataFrame, time: str, width: str, late: str) -> DataFrame:
