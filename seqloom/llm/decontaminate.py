@@ -201,7 +201,7 @@ def marked(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         empty,
         lambda s, x: F.when(
             (F.size(s) > 0) & (last(s)["b"] >= x["a"]),
-            F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(last(s)["a"].alias("a"), F.greatest(last(s)["b"], x["b"]).alias("b")))),
+            F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.named_struct(F.lit("a"), last(s)["a"], F.lit("b"), F.greatest(last(s)["b"], x["b"])))),
         ).otherwise(F.concat(s, F.array(x))),
     )
     return one.select(F.col("__id").alias(id_col), F.explode(F.sequence(F.lit(1), F.col("__rows"))).alias("__row"), "n_words", merge.alias("spans"), "items").drop("__row")

@@ -44,7 +44,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     is shared again by weight. The level at which it all comes out is found by sorting the sources by
     limit over weight.
     """
-    own = sizes.groupBy("src").agg(F.sum("size").alias("source_size"), (F.sum(F.col("size").cast("double") * F.col("size")) / F.sum("size")).alias("scale"))
+    own = sizes.groupBy("src").agg(F.sum("size").alias("source_size"), F.try_divide(F.sum(F.col("size").cast("double") * F.col("size")), F.sum("size")).alias("scale"))
     order = F.row_number().over(Window.orderBy("src")) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (order % len(weights) + 1).cast("int"))
     own = own.withColumn("weight", weight).withColumn("limit", F.col("source_size").cast("double") * most)
@@ -78,7 +78,7 @@ def multipliers(sizes: DataFrame, targets: DataFrame, most: int = MOST) -> DataF
     """
     counts = written(sizes.where("size > 0").groupBy("src", "size").agg(F.count("*").cast("double").alias("n")))
     # right if all documents were of one size
-    part = F.col("target") / (F.col("source_size") * float(most))
+    part = F.try_divide(F.col("target"), F.col("source_size") * float(most))
     start = F.when((part > 0) & (part < 1), F.log(part / (1 - part))).otherwise(0.0)
     now = written(
         targets.withColumns({"full": F.col("target") >= F.col("source_size") * float(most) * (1 - 1e-12), "a": start, "low": F.lit(-1e6), "high": F.lit(1e6), "off": F.lit(1.0)})
@@ -99,12 +99,12 @@ def multipliers(sizes: DataFrame, targets: DataFrame, most: int = MOST) -> DataF
         )
         over = F.col("got") > F.col("target")
         both = now.join(sums, "src", "left").withColumns({"low": F.when(F.col("got").isNotNull() & ~over, F.col("a")).otherwise(F.col("low")), "high": F.when(over, F.col("a")).otherwise(F.col("high"))})
-        newton = F.col("a") - (F.col("got") - F.col("target")) / F.col("slope")
+        newton = F.col("a") - F.try_divide(F.col("got") - F.col("target"), F.col("slope"))
         # from a bracket that is open on one side, steps go no further than 4 at a time
         newton = F.greatest(F.least(newton, F.col("a") + 4), F.col("a") - 4)
-        inside = (newton > F.col("low")) & (newton < F.col("high")) & (F.col("slope") > 0)
+        inside = F.coalesce((newton > F.col("low")) & (newton < F.col("high")), F.lit(False)) & (F.col("slope") > 0)
         step = F.when(inside, newton).when((F.col("low") > -1e6) & (F.col("high") < 1e6), (F.col("low") + F.col("high")) / 2).otherwise(F.col("a") + F.when(over, -4.0).otherwise(4.0))
-        off = F.abs(F.col("got") - F.col("target")) / F.col("target")
+        off = F.try_divide(F.abs(F.col("got") - F.col("target")), F.col("target"))
         now = written(
             both.select(
                 "src", "source_size", "scale", "target", "full",
