@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import alphabet, scores
-from seqloom.operators import chain, cluster, complete, extend, filters, intervals, mass, matches, postings, select
+from seqloom.operators import chain, cluster, complete, extend, filters, intervals, mass, matches, postings, select, unique, userfunctions
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BASES = "".join("acgt"[i % 4] for i in range(26)) * 2
@@ -517,6 +517,104 @@ def _(spark, d):
     return matches.multi_matches(_bench(spark, d), 1)
 
 
+def _cb(spark, d) -> DataFrame:
+    return filters.exact_columns(matches.query_matches(_conv(spark, d), _bench(spark, d), 12)).select("seq1", "pos1", "len1", "seq2", "pos2", "len2")
+
+
+_CB6 = f"SELECT seq1, pos1, len AS len1, seq2, pos2, len AS len2 FROM ({_CB})"
+_CBS = f"SELECT m.*, x.seq AS s1, y.seq AS s2 FROM ({_CB6}) m JOIN ({_SEQ['conv']}) x ON x.seqnum = seq1 JOIN ({_SEQ['bench']}) y ON y.seqnum = seq2"
+_SIX = "seq1, pos1, len1, seq2, pos2, len2"
+
+
+@_query("user_at_most", f"SELECT * FROM ({_CB6}) WHERE len1 <= 20")
+def _(spark, d):
+    return userfunctions.at_most(_cb(spark, d), 20)
+
+
+@_query("user_touching_an_end", f"SELECT {_SIX} FROM ({_CBS}) WHERE pos1 = 0 OR pos1 + len1 = length(s1)")
+def _(spark, d):
+    return userfunctions.touching_an_end(_cb(spark, d), _conv(spark, d))
+
+
+@_query("user_ending_at_the_end", f"SELECT {_SIX} FROM ({_CBS}) WHERE pos1 + len1 = length(s1)")
+def _(spark, d):
+    return userfunctions.ending_at_the_end(_cb(spark, d), _conv(spark, d))
+
+
+@_query("user_end_to_end", f"SELECT {_SIX} FROM ({_CBS}) WHERE NOT ((pos1 > 60 AND pos2 > 60) OR (length(s1) - pos1 - len1 > 60 AND length(s2) - pos2 - len2 > 60))")
+def _(spark, d):
+    return userfunctions.end_to_end(_cb(spark, d), _conv(spark, d), _bench(spark, d), 60)
+
+
+@_query("user_starting_and_ending", f"SELECT {_SIX} FROM ({_CBS}) WHERE substr(s1, pos1::INT + 1, 1) = 't' AND substr(s1, (pos1 + len1)::INT, 1) = ' '")
+def _(spark, d):
+    return userfunctions.starting_and_ending(_cb(spark, d), _conv(spark, d), "t", " ")
+
+
+@_query("user_between_sites", f"SELECT {_SIX} FROM ({_CBS}) WHERE pos2 >= 1 AND substr(s2, pos2::INT, 1) = ' ' AND substr(s2, (pos2 + len2)::INT + 1, 1) = 'n'")
+def _(spark, d):
+    return userfunctions.between_sites(_cb(spark, d), _bench(spark, d), " ", "n")
+
+
+@_query("user_after_symbol", f"SELECT {_SIX} FROM ({_CBS}) WHERE substr(s1, pos1::INT + 1, 1) = 'e'")
+def _(spark, d):
+    return userfunctions.after_symbol(_cb(spark, d), _conv(spark, d), "e")
+
+
+@_query("user_context", f"SELECT seq1, pos1 AS start, substr(s1, pos1::INT + 1, 17) AS text FROM ({_CBS}) WHERE pos1 + 17 <= length(s1) AND NOT contains(substr(s1, pos1::INT + 1, 17), '#')")
+def _(spark, d):
+    return userfunctions.context_windows(_cb(spark, d), _conv(spark, d))
+
+
+@_query("user_shorter", f"SELECT {_SIX} FROM ({_CBS}) WHERE len2 < length(s1)")
+def _(spark, d):
+    return userfunctions.shorter_than_sequence(_cb(spark, d), _conv(spark, d))
+
+
+@_query("user_qgrams", f"SELECT seq1, pos1 + o AS pos1, seq2, pos2 + o AS pos2 FROM (SELECT *, unnest(range(0, len1 - 8 + 1)) AS o FROM ({_CB6}))")
+def _(spark, d):
+    return userfunctions.qgram_places(_cb(spark, d), 8)
+
+
+@_query("user_query_qgrams", f"SELECT seq2, pos2 + o AS pos2 FROM (SELECT *, unnest(range(0, len2 - 8 + 1)) AS o FROM ({_CB6}))")
+def _(spark, d):
+    return userfunctions.query_qgrams(_cb(spark, d), 8)
+
+
+@_query("user_by_sequence", f"SELECT seq1 AS seqnum, seq2 AS other, len, pos1 AS start, pos2 AS other_start FROM ({_selfm('conv', 40)}) WHERE seq1 <> seq2 UNION ALL SELECT seq2, seq1, len, pos2, pos1 FROM ({_selfm('conv', 40)}) WHERE seq1 <> seq2")
+def _(spark, d):
+    return userfunctions.by_sequence(filters.exact_columns(matches.self_matches(_conv(spark, d), 40)))
+
+
+@_query("user_fasta", f"SELECT '>' || seq1 || ' ' || pos1 || ' ' || len1 || chr(10) || substr(s1, pos1::INT + 1, len1::INT) AS value FROM ({_CBS}) UNION ALL SELECT '>' || seq2 || ' ' || pos2 || ' ' || len2 || chr(10) || substr(s2, pos2::INT + 1, len2::INT) FROM ({_CBS})")
+def _(spark, d):
+    return userfunctions.as_fasta(_cb(spark, d), _conv(spark, d), _bench(spark, d))
+
+
+@_query("user_merged")
+def _(spark, d):
+    return userfunctions.merged_matches(_cb(spark, d), 20)
+
+
+@_query(
+    "minimum_unique_prefix",
+    "WITH "
+    + ", ".join(f"c{k} AS (SELECT km, count(*) AS n FROM ({_post('conv', k)}) GROUP BY km), q{k} AS (SELECT seqnum, pos FROM ({_post('bench', k)}) p JOIN c{k} USING (km) WHERE n = 1), m{k} AS (SELECT seqnum, pos FROM ({_post('bench', k)}) p JOIN c{k} USING (km))" for k in range(6, 12))
+    + " SELECT seqnum, pos, min(k)::BIGINT AS length FROM (" + " UNION ALL ".join(f"SELECT seqnum, pos, {k} AS k FROM q{k}" for k in range(6, 12)) + ") GROUP BY seqnum, pos",
+)
+def _(spark, d):
+    return unique.minimum_unique_prefixes(_conv(spark, d), _bench(spark, d), 6, 11)
+
+
+_PROFILE = [{"a": 2.0, "c": -1.0, "g": 0.5, "t": -2.0}, {"a": -1.0, "c": 3.0, "g": 0.0, "t": 1.0}, {"a": 0.0, "c": 0.0, "g": 2.5, "t": -1.0}, {"a": 1.5, "c": -0.5, "g": -0.5, "t": 1.0}]
+_PROFILE_SQL = " + ".join(f"CASE substr(km, {i + 1}, 1) " + " ".join(f"WHEN '{c}' THEN {v}" for c, v in col.items()) + " END" for i, col in enumerate(_PROFILE))
+
+
+@_query("profile_search", f"SELECT seqnum, pos, CAST({_PROFILE_SQL} AS DOUBLE) AS score FROM ({_post('dna', 4)}) WHERE {_PROFILE_SQL} >= 6")
+def _(spark, d):
+    return unique.profile_search(_dna(spark, d), _PROFILE, 6)
+
+
 # --- translated matches, chains, extensions: no SQL, tested against brute force ---------------------------------------------------
 
 
