@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import NULL_ID, SPACES, lower_ascii
+from seqloom.llm.common import NULL_ID, SPACES, lower_ascii, written
 
 
 def line_key(line: Column) -> Column:
@@ -38,7 +38,8 @@ def _dropped(keyed: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     )
     found = lines.groupBy("__k1", "__k2").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last"), *([F.count_distinct("__id").alias("__docs")] if min_docs > 2 else []))
     shared = found.where(F.col("__first") != F.col("__last")).where(F.col("__docs") >= min_docs if min_docs > 2 else F.lit(True)).select("__k1", "__k2", "__first")
-    gone = lines.join(shared, ["__k1", "__k2"]).where(F.col("__id") != F.col("__first"))
+    # written, it is a side that a skewed join can split the other one against; a line in every document loads no one task
+    gone = lines.join(written(shared), ["__k1", "__k2"]).where(F.col("__id") != F.col("__first"))
     return gone.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set("__at")).alias("__drop"))
 
 
