@@ -77,6 +77,20 @@ def multiplier_complete(n: int | Column) -> Column:
     return n if isinstance(n, Column) else F.lit(float(n))
 
 
+def karlin_lambda(chances: dict[int, float], steps: int = 200) -> float:
+    """The positive root of the sum of chance * exp(root * score) - 1, by halving; scores by their chances, negative on average."""
+    if sum(s * p for s, p in chances.items()) >= 0 or max(chances) <= 0:
+        raise ValueError("the mean score must be negative and some score positive")
+    low, high = 0.0, 1.0
+    value = lambda x: sum(p * math.exp(x * s) for s, p in chances.items()) - 1
+    while value(high) < 0:
+        high *= 2
+    for _ in range(steps):
+        mid = (low + high) / 2
+        low, high = (mid, high) if value(mid) < 0 else (low, mid)
+    return (low + high) / 2
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Places at which two strings of one length differ; null for different lengths."""
     parts = lambda s: F.split(s, "")

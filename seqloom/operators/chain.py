@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("global", "gap_cost", "overlaps", "local")
@@ -135,3 +135,26 @@ def chains(fragments: DataFrame, group: list[str], mode: ChainMode) -> DataFrame
 def match_fragments(matches: DataFrame) -> DataFrame:
     """Matches (seq1, pos1, len1, seq2, pos2, len2, score) as fragments."""
     return matches.select("seq1", "seq2", F.col("pos1").alias("start1"), (F.col("pos1") + F.col("len1") - 1).alias("end1"), F.col("pos2").alias("start2"), (F.col("pos2") + F.col("len2") - 1).alias("end2"), F.col("score").cast("double").alias("weight"))
+
+
+def threaded(chained: DataFrame, db: DataFrame, query: DataFrame, group: tuple[str, str] = ("seq1", "seq2"), *, max_gap: int = 1000, max_errors: int | None = None) -> DataFrame:
+    """Rows (seq1, pos1, len1, seq2, pos2, len2, distance): fragments of each chain joined where the texts between them are alike.
+
+    Between neighbours the edit distance of both gaps is taken; a gap of more than `max_gap` characters on a side, or of
+    more than `max_errors` edits, ends the match. Expects exact fragments.
+    """
+    w = Window.partitionBy(*group, "chain").orderBy("step")
+    rows = chained.withColumns({"__e1": F.lag("end1").over(w), "__e2": F.lag("end2").over(w)})
+    rows = rows.withColumns({"__g1": F.greatest(F.lit(0).cast("long"), F.col("start1") - F.col("__e1") - 1), "__g2": F.greatest(F.lit(0).cast("long"), F.col("start2") - F.col("__e2") - 1)})
+    close = F.col("__e1").isNotNull() & (F.col("__g1") <= max_gap) & (F.col("__g2") <= max_gap)
+    for i, seqs in ((1, db), (2, query)):
+        own = seqs.select(F.col("seqnum").alias(group[i - 1]), F.col("seq").alias(f"__s{i}"))
+        text = F.substr(F.col(f"__s{i}"), (F.col(f"__e{i}") + 2).cast("int"), F.col(f"__g{i}").cast("int"))
+        rows = rows.join(own, group[i - 1]).withColumn(f"__t{i}", F.when(close, text)).drop(f"__s{i}")
+    rows = rows.withColumn("__off", F.levenshtein("__t1", "__t2"))
+    joined = F.col("__off").isNotNull() & (F.lit(True) if max_errors is None else F.col("__off") <= max_errors)
+    rows = rows.withColumn("__new", F.when(joined, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(w))
+    out = rows.groupBy(*group, "chain", "__run").agg(
+        F.min("start1").alias("pos1"), F.max("end1").alias("__e1"), F.min("start2").alias("pos2"), F.max("end2").alias("__e2"), F.sum(F.when(F.col("__new") == 0, F.col("__off")).otherwise(0)).cast("long").alias("distance")
+    )
+    return out.select(group[0], "pos1", (F.col("__e1") - F.col("pos1") + 1).alias("len1"), group[1], "pos2", (F.col("__e2") - F.col("pos2") + 1).alias("len2"), "distance")

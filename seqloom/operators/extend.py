@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.alphabet import WILDCARD
+from seqloom.operators.filters import without_contained
 
 MATCH, MISMATCH, INDEL = 2, -1, -2
 DEFAULT_XDROP_SEED = 30
@@ -185,6 +186,26 @@ def extend_edit(seeds: DataFrame, db: DataFrame, query: DataFrame, least: int, e
     return _extended(seeds, db, query, reach, one)
 
 
+def extend_all(seeds: DataFrame, db: DataFrame, query: DataFrame, least: int, errors: int, *, edits: bool = False, reach: int = 4096) -> DataFrame:
+    """All maximal ways to share the errors between both ends, without matches that lie in others."""
+    steps = edit_steps if edits else (lambda a, b, k: [(n, n) for n in hamming_steps(a, b, k)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                left, right = steps(r.left1, r.left2, errors), steps(r.right1, r.right2, errors)
+                for i in range(errors + 1):
+                    (l1, l2), (r1, r2) = left[i], right[errors - i]
+                    n1, n2 = l1 + r.len + r1, l2 + r.len + r2
+                    if min(n1, n2) >= least:
+                        rows.append((r.seq1, r.pos1 - l1, n1, r.seq2, r.pos2 - l2, n2, errors if edits else -errors, 0))
+            yield pd.DataFrame(rows, columns=["seq1", "pos1", "len1", "seq2", "pos2", "len2", "distance", "score"])
+
+    found = _contexts(seeds, db, query, reach).mapInPandas(run, _SCHEMA).drop("score").distinct()
+    return without_contained(found)
+
+
 def extend_xdrop(seeds: DataFrame, db: DataFrame, query: DataFrame, drop: int, *, edits: bool = False, reach: int = 2048) -> DataFrame:
     """Both ends extended while the score stays within `drop` of the best. drop: 1 to 255."""
     if not 1 <= drop <= 255:

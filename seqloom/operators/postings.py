@@ -22,7 +22,12 @@ def sequences(df: DataFrame, id_col: str, text_col: str, *, seq: Column | None =
 
 
 def spread(seqs: DataFrame) -> DataFrame:
-    """`seqs` over as many partitions as there are cores, where a small file came as fewer."""
+    """`seqs` over as many partitions as there are cores, where a small file came as fewer.
+
+    A plan that shuffles is left alone: its partitions are not known before it runs.
+    """
+    if "Exchange" in seqs._jdf.queryExecution().executedPlan().toString():
+        return seqs
     cores = seqs.sparkSession.sparkContext.defaultParallelism
     return seqs.repartition(cores) if seqs.rdd.getNumPartitions() < cores else seqs
 

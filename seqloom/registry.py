@@ -678,3 +678,28 @@ def _(spark, d):
 def _(spark, d):
     seeds, dna = _seeds(spark, d)
     return extend.align(extend.extend_edit(seeds, dna, dna, 18, 2), dna, dna)
+
+
+@_query("extend_all")
+def _(spark, d):
+    seeds, dna = _seeds(spark, d)
+    return extend.extend_all(seeds, dna, dna, 18, 2)
+
+
+@_query("chain_threaded")
+def _(spark, d):
+    chained = chain.chains(_fragments(spark, d), ["seq1", "seq2"], chain.ChainMode("gap_cost"))
+    return chain.threaded(chained, _conv(spark, d), _bench(spark, d), max_gap=40, max_errors=12)
+
+
+@_query("local_alignment")
+def _(spark, d):
+    heads = _heads(_dna(spark, d), 60)
+    both = heads.alias("a").join(heads.alias("b"), F.col("b.seqnum") == F.col("a.seqnum") + 1).select(F.col("a.seqnum").alias("seqnum"), F.col("a.seq").alias("x"), F.col("b.seq").alias("y"))
+
+    def run(batches):
+        for b in batches:
+            found = [extend.local_alignment(x, y) for x, y in zip(b.x, b.y, strict=True)]
+            yield b[["seqnum"]].assign(**{c: [f[i] for f in found] for i, c in enumerate(("score", "begin1", "end1", "begin2", "end2"))})
+
+    return both.mapInPandas(run, "seqnum long, score long, begin1 long, end1 long, begin2 long, end2 long")

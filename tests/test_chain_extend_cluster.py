@@ -137,3 +137,27 @@ def test_match_clusters(spark):
     real = {m: tuple((s, p, min(e, 80)) for s, p, e in x) for m, x in ends.items()}
     assert real == ends
     check(cluster.clusters_by_similarity(df, frame(spark, a), 25), lambda x, y: any(brute.edit_distance(text(u), text(v)) <= min(least(x), least(y)) * 25 // 100 for u in ends[x] for v in ends[y]))
+
+
+def test_threaded(spark):
+    a, b = {0: "aaaaccccggggtttt"}, {0: "aaaacxccgggtttt"}
+    fr = [(0, 0, 0, 3, 0, 3, 4.0), (0, 0, 12, 15, 11, 14, 4.0)]
+    df = spark.createDataFrame(fr, "seq1 long, seq2 long, start1 long, end1 long, start2 long, end2 long, weight double")
+    chained = chain.chains(df, ["seq1", "seq2"], chain.ChainMode("global"))
+    got = chain.threaded(chained, frame(spark, a), frame(spark, b)).collect()
+    assert [tuple(r) for r in got] == [(0, 0, 16, 0, 0, 15, brute.edit_distance("ccccgggg", "cxccggg"))]
+    assert chain.threaded(chained, frame(spark, a), frame(spark, b), max_errors=1).count() == 2
+
+
+def test_all_extensions(spark):
+    a = make(61, n=4, size=50, symbols="ac#")
+    df = frame(spark, a)
+    found = extend.extend_all(matches.self_matches(df, 4), df, df, 8, 1).collect()
+    for r in found:
+        x, y = a[r.seq1][r.pos1 : r.pos1 + r.len1], a[r.seq2][r.pos2 : r.pos2 + r.len2]
+        assert sum(c != d or c == "#" for c, d in zip(x, y, strict=True)) <= 1
+    assert not any(p != q and (p.seq1, p.seq2) == (q.seq1, q.seq2) and q.pos1 <= p.pos1 and p.pos1 + p.len1 <= q.pos1 + q.len1 and q.pos2 <= p.pos2 and p.pos2 + p.len2 <= q.pos2 + q.len2 for p in found for q in found)
+
+
+def test_local_alignment():
+    assert extend.local_alignment("ttacgtacgtt", "ggacgtccg") == (11, 2, 9, 2, 9)
