@@ -10,8 +10,8 @@ grow repeats those first.
 Rates are rounded into 0, 1 or 2 copies: the whole part, and one more where the rest exceeds a draw that
 depends on the document's id only, plus a shift for each source. The shift is looked up in two histograms
 and among the few documents of one bin, such that the copies' words come near the target; up to
-three documents of each source that are no larger than what is still off are then turned. No step gathers a source: sums are pre-aggregated and joins are on the small table
-of sources, which Spark broadcasts only below its own threshold.
+three documents of each source that are no larger than what is still off are then turned. No step gathers a source: sums are pre-aggregated and the table of sources is
+broadcast while it has SENT rows or fewer.
 
 A null text has size 0 and is never taken. A null source is a source of its own that comes last. Repeated
 rows and ids each give a row; equal ids of equal size draw alike. An empty table gives no rows. Extra columns
@@ -31,6 +31,13 @@ WORDS = r"[^\x20\x09-\x0D]++"
 ROUNDS, CLOSE = 60, 1e-6
 BINS = 4096
 REPAIRS = 3
+#: Sources, of about 100 bytes each, up to which their table is broadcast.
+SENT = 100_000
+
+
+def _per_source(table: DataFrame, sources: int) -> DataFrame:
+    """A table of one row for each source, sent to all tasks while there are SENT sources or fewer, so that no join deals rows out by source."""
+    return F.broadcast(table) if sources <= SENT else table
 
 
 def word_count(text: Column) -> Column:
@@ -76,6 +83,7 @@ def multipliers(sizes: DataFrame, targets: DataFrame, most: int = MOST) -> DataF
     The dual's gradient is the words that the rates give less the target; its curvature the sum of
     size * rate * (1 - rate / most) * size / scale.
     """
+    sources = targets.count()
     counts = written(sizes.where("size > 0").groupBy("src", "size").agg(F.count("*").cast("double").alias("n")))
     # right if all documents were of one size
     part = F.try_divide(F.col("target"), F.col("source_size") * float(most))
@@ -89,7 +97,7 @@ def multipliers(sizes: DataFrame, targets: DataFrame, most: int = MOST) -> DataF
             break
         rate = _rate(most)
         sums = (
-            counts.join(open_, "src")
+            counts.join(_per_source(open_, sources), "src")
             .withColumn("r", rate)
             .groupBy("src")
             .agg(
@@ -118,18 +126,18 @@ def multipliers(sizes: DataFrame, targets: DataFrame, most: int = MOST) -> DataF
 def _cuts(rated: DataFrame, targets: DataFrame) -> DataFrame:
     """Rows (src, cut): a document gets one copy more if its key is `cut` or more."""
     wanted = targets.select("src", "target").join(rated.groupBy("src").agg(F.sum(F.floor("rate") * F.col("size")).alias("whole")), "src", "left").select("src", (F.col("target") - F.coalesce("whole", F.lit(0))).alias("need"))
-    rows = rated.where((F.col("rest") > 0) & (F.col("size") > 0))
+    rows, sources = rated.where((F.col("rest") > 0) & (F.col("size") > 0)), targets.count()
     down = Window.partitionBy("src").orderBy(F.col("bin").desc())
     bin_of = lambda lo, width: F.least(F.lit(BINS - 1), F.floor((F.col("key") - lo) / width * BINS)).cast("long")
     found = wanted.withColumns({"lo": F.lit(-1.0), "width": F.lit(2.0), "above": F.lit(0.0)})
     for _ in range(2):
-        near = rows.join(found, "src").where((F.col("key") >= F.col("lo")) & (F.col("key") < F.col("lo") + F.col("width")))
+        near = rows.join(_per_source(found, sources), "src").where((F.col("key") >= F.col("lo")) & (F.col("key") < F.col("lo") + F.col("width")))
         bins = near.groupBy("src", "need", "lo", "width", "above", bin_of(F.col("lo"), F.col("width")).alias("bin")).agg(F.sum("size").alias("s"))
         bins = bins.withColumn("upto", F.sum("s").over(down) + F.col("above"))
         # the first bin from above that reaches the need; the lowest if none does
         crossing = bins.withColumn("reach", F.col("upto") >= F.col("need")).withColumn("row", F.row_number().over(Window.partitionBy("src").orderBy(F.col("reach").desc(), F.when(F.col("reach"), -F.col("bin")).otherwise(F.col("bin"))))).where("row = 1")
         found = written(crossing.select("src", "need", (F.col("lo") + F.col("bin") * F.col("width") / BINS).alias("lo"), (F.col("width") / BINS).alias("width"), (F.col("upto") - F.col("s")).alias("above")))
-    few = rows.join(found, "src").where((F.col("key") >= F.col("lo") - 1e-12) & (F.col("key") < F.col("lo") + F.col("width") + 1e-12))
+    few = rows.join(_per_source(found, sources), "src").where((F.col("key") >= F.col("lo") - 1e-12) & (F.col("key") < F.col("lo") + F.col("width") + 1e-12))
     few = few.groupBy("src", "need", "above", "lo", "key").agg(F.sum("size").alias("s"))
     few = few.withColumn("upto", F.sum("s").over(Window.partitionBy("src").orderBy(F.col("key").desc())) + F.col("above"))
     # to stop before this key leaves upto - s words, to stop after it upto
@@ -143,14 +151,15 @@ def _repaired(rated: DataFrame, cuts: DataFrame) -> DataFrame:
     Each round turns the largest document that is no larger than what is still off.
     """
     rows = rated.where((F.col("rest") > 0) & (F.col("size") > 0)).select("src", "id", "size", "key")
+    sources = cuts.count()
     now = written(cuts.withColumn("flip", F.array().cast("array<bigint>")))
     for _ in range(REPAIRS):
         more = (F.col("key") >= F.col("cut")) != F.array_contains("flip", F.col("id"))
-        state = rows.join(now, "src").withColumn("more", more)
+        state = rows.join(_per_source(now, sources), "src").withColumn("more", more)
         gap = state.groupBy("src").agg(F.sum(F.when(F.col("more"), F.col("size")).otherwise(0)).alias("got"))
         gap = now.join(gap, "src").select("src", (F.col("need") - F.col("got")).alias("gap"))
         fits = (F.when(F.col("gap") > 0, ~F.col("more")).otherwise(F.col("more"))) & (F.col("size") <= F.abs("gap")) & F.col("id").isNotNull() & ~F.array_contains("flip", F.col("id"))
-        best = state.join(gap, "src").where(fits).groupBy("src").agg(F.max(F.struct("size", "id")).alias("best"))
+        best = state.join(_per_source(gap, sources), "src").where(fits).groupBy("src").agg(F.max(F.struct("size", "id")).alias("best"))
         now = written(now.join(best, "src", "left").select("src", "need", "cut", F.when(F.col("best").isNull(), F.col("flip")).otherwise(F.concat("flip", F.array("best.id"))).alias("flip")))
     return now
 
@@ -162,7 +171,7 @@ def _rated(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     sizes = written(docs.select(F.col(id_col).cast("long").alias("id"), word_count(F.col(text_col).cast("string")).alias("size"), src.alias("src")))
     targets = multipliers(sizes, written(source_targets(sizes, weights, share, most)), most)
     draw = F.pmod(F.xxhash64("id", "size"), F.lit(1 << 40)) / float(1 << 40)
-    rated = sizes.join(targets, "src").withColumn("rate", _rate(most)).withColumn("rest", F.col("rate") - F.floor("rate")).withColumn("key", F.col("rest") - draw)
+    rated = sizes.join(_per_source(targets, targets.count()), "src").withColumn("rate", _rate(most)).withColumn("rest", F.col("rate") - F.floor("rate")).withColumn("key", F.col("rest") - draw)
     return rated, targets
 
 
@@ -171,7 +180,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rated, targets = _rated(docs, id_col, text_col, source_col, weights, share, most)
     more = (F.col("rest") > 0) & F.col("cut").isNotNull() & ((F.col("key") >= F.col("cut")) != F.coalesce(F.array_contains("flip", F.col("id")), F.lit(False)))
     copies = F.least(F.lit(most), F.floor("rate") + more.cast("int")).cast("long")
-    out = rated.join(_repaired(rated, _cuts(rated, targets)).drop("need"), "src", "left").withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
+    cuts = _repaired(rated, written(_cuts(rated, targets)))
+    out = rated.join(_per_source(cuts.drop("need"), targets.count()), "src", "left").withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
