@@ -56,7 +56,11 @@ _SEQ["dnarc"] = f"SELECT seqnum, reverse(translate(seq, 'acgt', 'tgca')) AS seq
 
 
 def _post(name: str, k: int) -> str:
-    return f"SELECT seqnum, pos, substr(seq, CAST(pos + 1 AS INT), {k}) AS km FROM (SELECT seqnum, seq, unnest(range(0, length(seq) - {k} + 1)) AS pos FROM ({_SEQ[name]}) WHERE length(seq) >= {k}) WHERE NOT contains(substr(seq, CAST(pos + 1 AS INT), {k}), '#')"
+    """All places and their k-mers without wildcards; texts in pieces first, since substr() walks from the start."""
+    starts = f"SELECT seqnum, seq, unnest(range(0, length(seq) - {k} + 1, 256)) AS st FROM ({_SEQ[name]}) WHERE length(seq) >= {k}"
+    parts = f"SELECT seqnum, st, substr(seq, (st + 1)::INT, {256 + k - 1}) AS part FROM ({starts})"
+    places = f"SELECT seqnum, st, part, unnest(range(0, length(part) - {k} + 1)) AS o FROM ({parts})"
+    return f"SELECT * FROM (SELECT seqnum, st + o AS pos, substr(part, (o + 1)::INT, {k}) AS km FROM ({places})) WHERE NOT contains(km, '#')"
 
 
 def _islands(pairs: str, k: int) -> str:
@@ -201,12 +205,12 @@ def _(spark, d):
 
 @_query(
     "supermaximal_repeats",
-    f"""WITH m AS MATERIALIZED ({_selfm('bench', 16)}), t AS MATERIALIZED (SELECT m.*, substr(seq, (pos1 + 1)::INT, len::INT) AS w FROM m JOIN ({_SEQ['bench']}) ON seqnum = seq1),
+    f"""WITH m AS MATERIALIZED ({_selfm('bench', 11)}), t AS MATERIALIZED (SELECT m.*, substr(seq, (pos1 + 1)::INT, len::INT) AS w FROM m JOIN ({_SEQ['bench']}) ON seqnum = seq1),
     strings AS MATERIALIZED (SELECT DISTINCT w FROM t), inner_ AS (SELECT DISTINCT a.w FROM strings a JOIN strings b ON length(b.w) > length(a.w) AND contains(b.w, a.w))
     SELECT seq1, pos1, seq2, pos2, len FROM t WHERE w NOT IN (SELECT w FROM inner_)""",
 )
 def _(spark, d):
-    return matches.supermaximal_repeats(_bench(spark, d), 16)
+    return matches.supermaximal_repeats(_bench(spark, d), 11)
 
 
 @_query(
