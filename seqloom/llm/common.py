@@ -33,13 +33,6 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make checkpoint() usable, in the folder the cluster names or, where none is named, a local one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "seqloom"))
-
-
 def written(df: DataFrame) -> DataFrame:
     """`df` as a table in the shared folder, with its lineage cut; a lost executor costs nothing but its running tasks."""
     spark = df.sparkSession
