@@ -44,12 +44,12 @@ def normalised(text: Column) -> Column:
 
 
 def _parsed(messages: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
-    """`messages` with __conv, __turn and __lines: (level, text without marks, intro) of each line."""
+    """`messages` with __conv, __turn, __body and, where a line is quoted, __lines: (level, text without marks, intro) of each."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     conversation = F.when(F.col(conv).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(conv).cast("string")))
-    raw = messages.withColumns({CONV: conversation, "__turn": F.col(turn).cast("long"), "__raw": F.split(body, "\n")})
-    lines = F.transform("__raw", lambda x: F.struct(_level(x).alias("level"), F.regexp_replace(x, MARKS, "").alias("text")))
-    out = raw.withColumn("__lines", lines).drop("__raw")
+    raw = messages.withColumns({CONV: conversation, "__turn": F.col(turn).cast("long"), "__body": body})
+    lines = F.transform(F.split("__body", "\n"), lambda x: F.struct(_level(x).alias("level"), F.regexp_replace(x, MARKS, "").alias("text")))
+    out = raw.withColumn("__lines", F.when(F.col("__body").rlike(r"(?m)^[ \t]*>"), lines))
     # the next line that isn't blank is quoted deeper: a line like "A wrote:" introduces it
     def intro(x: Column, i: Column) -> Column:
         after = lambda k: F.get(F.col("__lines"), i + k)
@@ -62,7 +62,8 @@ def _parsed(messages: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
 
 def _keys(parsed: DataFrame) -> DataFrame:
     """Rows (__conv, __turn, level, chars, k1, k2): hashes of lines and of whole passages."""
-    own = parsed.select(CONV, "__turn", F.filter("__lines", lambda x: ~x["intro"]).alias("__own"))
+    plain = F.transform(F.split("__body", "\n"), lambda x: F.struct(F.lit(0).alias("level"), x.alias("text"), F.lit(False).alias("intro")))
+    own = parsed.select(CONV, "__turn", F.coalesce(F.filter("__lines", lambda x: ~x["intro"]), plain).alias("__own"))
     level = lambda i: F.get(F.col("__own"), i)["level"]
     changes = F.filter(F.sequence(F.lit(0), F.size("__own")), lambda i: (i == F.size("__own")) | (i == 0) | (level(i) != level(i - 1)))
     own = own.withColumn("__starts", changes)
@@ -80,10 +81,17 @@ def _keys(parsed: DataFrame) -> DataFrame:
     return rows.select(CONV, "__turn", "level", F.length("key").alias("chars"), F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"))
 
 
-def _replies(keys: DataFrame) -> DataFrame:
-    """Rows (__conv, __turn, n_linked, reply_to) for the messages with a linked quote."""
-    originals = keys.where((F.col("level") == 0) & F.col("__turn").isNotNull()).groupBy(CONV, "k1", "k2").agg(F.min("__turn").alias("__from"))
-    quotes = keys.where((F.col("level") > 0) & F.col("__turn").isNotNull()).groupBy(CONV, "__turn", "level", "k1", "k2").agg(F.max("chars").alias("chars"))
+def _replies(parsed: DataFrame) -> DataFrame:
+    """Rows (__conv, __turn, n_linked, reply_to) for the messages with a linked quote.
+
+    Messages without quotes are hashed only if there are quotes at all, and of their hashes only those that are quoted go on.
+    """
+    known = parsed.where(F.col("__turn").isNotNull())
+    quotes = written(_keys(known.where(F.col("__lines").isNotNull())).where("level > 0").groupBy(CONV, "__turn", "level", "k1", "k2").agg(F.max("chars").alias("chars")))
+    if quotes.isEmpty():
+        return quotes.select(CONV, "__turn", F.lit(0).cast("long").alias("n_linked"), F.col("__turn").alias("reply_to"))
+    wanted = quotes.select(CONV, "k1", "k2").distinct()
+    originals = _keys(known).where("level = 0").join(wanted, [CONV, "k1", "k2"], "left_semi").groupBy(CONV, "k1", "k2").agg(F.min("__turn").alias("__from"))
     linked = quotes.join(originals, [CONV, "k1", "k2"]).where(F.col("__from") < F.col("__turn"))
     by_original = linked.groupBy(CONV, "__turn", "__from").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("level") == 1, F.col("chars"))), F.lit(0)).alias("chars"))
     best = F.max(F.when(F.col("chars") > 0, F.struct("chars", "__from")))["__from"]
@@ -113,17 +121,18 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     the thread's first message to this one; sort by (conv_id, path).
     """
     parsed = _parsed(messages.select(conv_col, turn_col, role_col, text_col), conv_col, turn_col, text_col)
-    replies = _replies(_keys(parsed))
+    replies = _replies(parsed)
     turns = written(parsed.where(F.col("__turn").isNotNull()).select(CONV, "__turn").distinct().join(replies, [CONV, "__turn"], "left"))
     placed = turns.join(_paths(turns.select(CONV, "__turn", "reply_to")), [CONV, "__turn"])
     kept = F.array_join(F.transform(F.filter("__lines", lambda x: (x["level"] == 0) & ~x["intro"]), lambda x: x["text"]), "\n")
+    kept = F.when(F.col("__lines").isNull(), F.col("__body")).otherwise(kept)
     out = parsed.join(placed, [CONV, "__turn"], "left")
     return out.select(
         F.col(conv_col),
         F.col(turn_col),
         F.col(role_col),
         F.btrim(kept, F.lit(SPACES)).alias("text"),
-        F.size(F.filter("__lines", lambda x: x["level"] > 0)).cast("long").alias("n_quoted"),
+        F.when(F.col("__lines").isNull(), 0).otherwise(F.size(F.filter("__lines", lambda x: x["level"] > 0))).cast("long").alias("n_quoted"),
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         "reply_to",
         F.coalesce("path", F.array().cast("array<bigint>")).alias("path"),
