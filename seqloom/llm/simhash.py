@@ -232,7 +232,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows that share an id the one with the least text stays. Rows with a null id can't be told apart and all stay.
     """
-    found = simhash_components(docs, id_col, text_col, **options)
+    return keep_least(docs, simhash_components(docs, id_col, text_col, **options), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` that keep_first() keeps under the components `found` (id, component_id)."""
     kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
     repeated = written(found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).count().where("count > 1").select("__again"))
     out = docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi")
