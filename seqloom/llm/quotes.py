@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import SPACES, written
 
-#: Shortest normalised line or passage, in characters, that can link a quote.
-MIN_CHARS = 8
 #: Reply chains of up to 2**ROUNDS messages.
 ROUNDS = 40
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
@@ -77,7 +75,7 @@ def _keys(parsed: DataFrame) -> DataFrame:
     single = F.transform("__own", lambda x: F.struct(x["level"].alias("level"), x["text"].alias("text")))
     units = F.concat(single, F.when(F.size("__own") > 0, passages).otherwise(F.slice(single, 1, 0)), F.array(F.struct(F.lit(0).alias("level"), body.alias("text"))))
     rows = own.select(CONV, "__turn", F.explode(units).alias("u")).select(CONV, "__turn", "u.level", normalised(F.col("u.text")).alias("key"))
-    rows = rows.where(F.length("key") >= MIN_CHARS)
+    rows = rows.where(F.length("key") > 0)
     return rows.select(CONV, "__turn", "level", F.length("key").alias("chars"), F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"))
 
 
