@@ -221,7 +221,7 @@ def _(spark, d):
 )
 def _(spark, d):
     found = matches.self_matches(_conv(spark, d), 4, within=True)
-    return matches.tandem_repeats(found, 4).where("period <= 40")
+    return matches.tandem_repeats(found, 4)
 
 
 _MUM_COUNT = "(SELECT count(*) FROM ({s}) s, unnest(range(0, length(s.seq) - f.len + 1)) AS u(p) WHERE length(s.seq) >= f.len AND substr(s.seq, (p + 1)::INT, f.len::INT) = f.w)"
