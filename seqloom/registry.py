@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import alphabet, scores
-from seqloom.operators import chain, cluster, complete, extend, filters, intervals, mass, matches, postings, select, unique, userfunctions
+from seqloom.operators import alignment, chain, cluster, complete, extend, filters, intervals, mass, matches, postings, select, unique, userfunctions
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BASES = "".join("acgt"[i % 4] for i in range(26)) * 2
@@ -651,43 +651,70 @@ _chain_query("chain_local", chain.ChainMode("local", ("percent", 20)))
 
 def _seeds(spark, d) -> tuple[DataFrame, DataFrame]:
     dna = _dna(spark, d)
-    return matches.self_matches(dna, 10), dna
+    return matches.self_matches(dna, 8), dna
 
 
-@_query("extend_hamming")
+# seeds with the mismatches left of them and right of them, as distances from the seed; the sequences' end comes last
+_SEEDS = f"""seeds AS MATERIALIZED (SELECT m.*, x.seq AS s1, y.seq AS s2, least(pos1, pos2) AS nl, least(length(x.seq) - pos1 - len, length(y.seq) - pos2 - len) AS nr
+    FROM ({_selfm('dna', 8)}) m JOIN ({_SEQ['dna']}) x ON x.seqnum = seq1 JOIN ({_SEQ['dna']}) y ON y.seqnum = seq2)"""
+_STEPS = f"""WITH {_SEEDS}, off AS (SELECT *, list_append([i FOR i IN range(0, nl) IF substr(s1, (pos1 - i)::INT, 1) <> substr(s2, (pos2 - i)::INT, 1)], nl)[1:3] AS l0,
+    list_append([i FOR i IN range(0, nr) IF substr(s1, (pos1 + len + i + 1)::INT, 1) <> substr(s2, (pos2 + len + i + 1)::INT, 1)], nr)[1:3] AS r FROM seeds),
+    steps AS (SELECT *, CASE WHEN len(l0) >= 2 AND l0[2] - l0[1] > 8 THEN l0[1:1] WHEN len(l0) >= 3 AND l0[3] - l0[2] > 8 THEN l0[1:2] ELSE l0 END AS l FROM off),
+    ways AS (SELECT *, i + j AS d, l[i + 1] AS left_, l[i + 1] + len + r[j + 1] AS n FROM (SELECT *, unnest(range(0, len(r))) AS j FROM (SELECT *, unnest(range(0, len(l))) AS i FROM steps)) WHERE i + j <= 2 AND l[i + 1] + len + r[j + 1] >= 15)"""
+_WAY = "seq1, (pos1 - left_)::BIGINT AS pos1, n::BIGINT AS len1, seq2, (pos2 - left_)::BIGINT AS pos2, n::BIGINT AS len2, (-d)::BIGINT AS distance"
+_LOG_E = "lgamma(n + 1) - lgamma(d + 1) - lgamma(n - d + 1) + (n - d) * ln(0.25) + (d + 2) * ln(0.75)"
+
+
+@_query("extend_hamming", f"{_STEPS} SELECT DISTINCT {_WAY}, (CASE WHEN d = 0 THEN 2 * n ELSE 3 * d - 2 * n END)::BIGINT AS score FROM (SELECT * FROM ways QUALIFY row_number() OVER (PARTITION BY seq1, pos1, seq2, pos2, len ORDER BY {_LOG_E}, d / n, n DESC, i DESC) = 1)")
 def _(spark, d):
     seeds, dna = _seeds(spark, d)
-    return extend.extend_hamming(seeds, dna, dna, 18, 2)
+    return extend.extend_hamming(seeds, dna, dna, 15, 2, seed=8)
 
 
 @_query("extend_edit")
 def _(spark, d):
     seeds, dna = _seeds(spark, d)
-    return extend.extend_edit(seeds, dna, dna, 18, 2)
+    return extend.extend_edit(seeds, dna, dna, 15, 2, seed=8)
+
 
+# scores along both ends of each seed: up to the first fall of more than 6 below the best, the first place of the best counts
+_XDROP = f"""WITH {_SEEDS}, ids AS (SELECT *, row_number() OVER (ORDER BY seq1, pos1, seq2, pos2, len) AS id FROM seeds),
+    steps AS (SELECT id, 1 AS side, k, substr(s1, (pos1 - k + 1)::INT, 1) = substr(s2, (pos2 - k + 1)::INT, 1) AS eq FROM (SELECT *, unnest(range(1, nl + 1)) AS k FROM ids)
+        UNION ALL SELECT id, 2, k, substr(s1, (pos1 + len + k)::INT, 1) = substr(s2, (pos2 + len + k)::INT, 1) FROM (SELECT *, unnest(range(1, nr + 1)) AS k FROM ids)),
+    totals AS (SELECT *, sum(CASE WHEN eq THEN 2 ELSE -1 END) OVER w AS t, k - coalesce(max(CASE WHEN NOT eq THEN k END) OVER w, 0) AS run FROM steps WINDOW w AS (PARTITION BY id, side ORDER BY k)),
+    tops AS (SELECT *, greatest(0, max(t) OVER (PARTITION BY id, side ORDER BY k)) AS top FROM totals),
+    stops AS (SELECT id, side, min(k) FILTER (t < top - 6) AS stop FROM tops GROUP BY id, side),
+    scanned AS (SELECT t.* FROM tops t JOIN stops USING (id, side) WHERE stop IS NULL OR k < stop),
+    ends AS (SELECT id, side, max(run) AS run, CASE WHEN max(t) > 0 THEN arg_max(k, t * 1000000 - k) ELSE 0 END AS n, greatest(0, max(t)) AS t FROM scanned GROUP BY id, side),
+    both_ends AS (SELECT i.*, coalesce(a.n, 0) AS left_, coalesce(a.n, 0) + len + coalesce(b.n, 0) AS n, (2 * coalesce(a.n, 0) - coalesce(a.t, 0)) / 3 + (2 * coalesce(b.n, 0) - coalesce(b.t, 0)) / 3 AS d
+        FROM ids i LEFT JOIN ends a ON a.id = i.id AND a.side = 1 LEFT JOIN ends b ON b.id = i.id AND b.side = 2 WHERE coalesce(a.run, 0) < 8)"""
 
-@_query("xdrop_hamming")
+
+@_query("xdrop_hamming", f"{_XDROP} SELECT DISTINCT {_WAY}, (CASE WHEN d = 0 THEN 2 * n ELSE 3 * d - 2 * n END)::BIGINT AS score FROM both_ends")
 def _(spark, d):
     seeds, dna = _seeds(spark, d)
-    return extend.extend_xdrop(seeds, dna, dna, 6)
+    return extend.extend_xdrop(seeds, dna, dna, 6, seed=8)
 
 
 @_query("xdrop_edit")
 def _(spark, d):
     seeds, dna = _seeds(spark, d)
-    return extend.extend_xdrop(seeds, dna, dna, 6, edits=True)
+    return extend.extend_xdrop(seeds, dna, dna, 6, edits=True, seed=8)
 
 
 @_query("alignment_text")
 def _(spark, d):
     seeds, dna = _seeds(spark, d)
-    return extend.align(extend.extend_edit(seeds, dna, dna, 18, 2), dna, dna)
+    return alignment.align(extend.extend_edit(seeds, dna, dna, 15, 2, seed=8), dna, dna)
+
 
+_FEWEST = "(SELECT seq1, pos1, len1, seq2, pos2, len2, max(distance) AS distance FROM (SELECT {way} FROM ways) GROUP BY ALL)".format(way=_WAY).replace(" GROUP BY ALL", " GROUP BY seq1, pos1, len1, seq2, pos2, len2")
 
-@_query("extend_all")
+
+@_query("extend_all", f"{_STEPS}, f AS MATERIALIZED {_FEWEST} SELECT * FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE a.seq1 = b.seq1 AND a.seq2 = b.seq2 AND b.pos1 <= a.pos1 AND b.pos1 + b.len1 >= a.pos1 + a.len1 AND b.pos2 <= a.pos2 AND b.pos2 + b.len2 >= a.pos2 + a.len2 AND (a.pos1, a.len1, a.pos2, a.len2) <> (b.pos1, b.len1, b.pos2, b.len2))")
 def _(spark, d):
     seeds, dna = _seeds(spark, d)
-    return extend.extend_all(seeds, dna, dna, 18, 2)
+    return extend.extend_all(seeds, dna, dna, 15, 2, seed=8)
 
 
 @_query("chain_threaded")
@@ -698,12 +725,6 @@ def _(spark, d):
 
 @_query("local_alignment")
 def _(spark, d):
-    heads = _heads(_dna(spark, d), 60)
-    both = heads.alias("a").join(heads.alias("b"), F.col("b.seqnum") == F.col("a.seqnum") + 1).select(F.col("a.seqnum").alias("seqnum"), F.col("a.seq").alias("x"), F.col("b.seq").alias("y"))
-
-    def run(batches):
-        for b in batches:
-            found = [extend.local_alignment(x, y) for x, y in zip(b.x, b.y, strict=True)]
-            yield b[["seqnum"]].assign(**{c: [f[i] for f in found] for i, c in enumerate(("score", "begin1", "end1", "begin2", "end2"))})
-
-    return both.mapInPandas(run, "seqnum long, score long, begin1 long, end1 long, begin2 long, end2 long")
+    dna = _dna(spark, d)
+    both = dna.alias("a").join(dna.alias("b"), F.col("b.seqnum") == F.col("a.seqnum") + 1)
+    return alignment.local_alignments(both.select(F.col("a.seqnum").alias("seq1"), F.col("b.seqnum").alias("seq2"), F.col("a.seq").alias("text1"), F.col("b.seq").alias("text2")))

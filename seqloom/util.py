@@ -6,17 +6,34 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def table_folder(spark: SparkSession) -> str:
+    """The folder for written tables of this application: below spark.checkpoint.dir or the context's checkpoint folder.
+
+    Where neither is set, a temporary folder on one machine, and an error on a cluster, whose machines don't share one.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if top is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        top = os.path.join(tempfile.gettempdir(), "seqloom")
+    return f"{top.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the folder of spark.checkpoint.dir, its lineage cut."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "seqloom")
-    path = f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    """`df` as a Parquet table in table_folder(), its lineage cut."""
+    path = f"{table_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Deletes this application's written tables; no DataFrame that reads one may be used after that."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def running_total(df: DataFrame, order: str, value: Column, name: str, *, parts: int = 64) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import chain, cluster, extend, matches
+from seqloom.operators import chain, cluster, matches
 from tests import brute
 from tests.test_matches import frame, make, rows
 
@@ -65,41 +65,6 @@ def test_mode_checks():
         chain.ChainMode("global", weight_factor=2.0)
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_edit_steps(seed):
-    r = random.Random(seed)
-    a, b = ("".join(r.choices("ac", k=r.randint(0, 9))) for _ in range(2))
-    for k, (i, j) in enumerate(extend.edit_steps(a, b, 3)):
-        assert brute.edit_distance(a[:i], b[:j]) <= k
-        assert i + j == max(x + y for x in range(len(a) + 1) for y in range(len(b) + 1) if brute.edit_distance(a[:x], b[:y]) <= k)
-
-
-@pytest.mark.parametrize("seed", range(5))
-def test_edit_script(seed):
-    r = random.Random(seed)
-    a, b = ("".join(r.choices("acg", k=r.randint(0, 15))) for _ in range(2))
-    script = extend.edit_script(a, b)
-    assert sum(n for op, n in script if op != "=") == brute.edit_distance(a, b)
-    assert sum(n for op, n in script if op != "I") == len(a) and sum(n for op, n in script if op != "D") == len(b)
-
-
-def test_xdrop():
-    assert extend.xdrop_hamming("aaaa", "aaca", 5) == (4, 5)
-    assert extend.xdrop_hamming("accccca", "agggggg", 2) == (1, 2)
-    assert extend.xdrop_edit("acgtacgt", "acgacgt", 6)[:3] == (8, 7, 1)
-
-
-def test_extensions(spark):
-    a = make(31, n=5, size=60, symbols="acgt#")
-    df = frame(spark, a)
-    seeds = matches.self_matches(df, 5)
-    for r in extend.extend_hamming(seeds, df, df, 10, 2).collect():
-        x, y = a[r.seq1][r.pos1 : r.pos1 + r.len1], a[r.seq2][r.pos2 : r.pos2 + r.len2]
-        assert len(x) == len(y) == r.len1 >= 10 and sum(c != d or c == "#" for c, d in zip(x, y, strict=True)) <= -r.distance <= 2
-    for r in extend.extend_edit(seeds, df, df, 8, 2).collect():
-        assert brute.edit_distance(a[r.seq1][r.pos1 : r.pos1 + r.len1], a[r.seq2][r.pos2 : r.pos2 + r.len2]) <= r.distance <= 2
-
-
 def closure(n, edges):
     at = list(range(n))
     for _ in range(n):
@@ -147,17 +112,3 @@ def test_threaded(spark):
     got = chain.threaded(chained, frame(spark, a), frame(spark, b)).collect()
     assert [tuple(r) for r in got] == [(0, 0, 16, 0, 0, 15, brute.edit_distance("ccccgggg", "cxccggg"))]
     assert chain.threaded(chained, frame(spark, a), frame(spark, b), max_errors=1).count() == 2
-
-
-def test_all_extensions(spark):
-    a = make(61, n=4, size=50, symbols="ac#")
-    df = frame(spark, a)
-    found = extend.extend_all(matches.self_matches(df, 4), df, df, 8, 1).collect()
-    for r in found:
-        x, y = a[r.seq1][r.pos1 : r.pos1 + r.len1], a[r.seq2][r.pos2 : r.pos2 + r.len2]
-        assert sum(c != d or c == "#" for c, d in zip(x, y, strict=True)) <= 1
-    assert not any(p != q and (p.seq1, p.seq2) == (q.seq1, q.seq2) and q.pos1 <= p.pos1 and p.pos1 + p.len1 <= q.pos1 + q.len1 and q.pos2 <= p.pos2 and p.pos2 + p.len2 <= q.pos2 + q.len2 for p in found for q in found)
-
-
-def test_local_alignment():
-    assert extend.local_alignment("ttacgtacgtt", "ggacgtccg") == (11, 2, 9, 2, 9)
