@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -156,12 +157,76 @@ def test_estimate_finds_the_reliable_labeler():
 PAGE = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a href='/'>home</a> menu words here</nav>{}<article><h1>Big &amp; bold</h1><p>One\n two<b>three</b></p><div class='ad'>buy this now</div><p>four<br>five</article><footer>&copy; all words of the footer</footer>"
 
 
+def taught(pages, **options):
+    first = hx.learned(sum((hx.counted(p, None) for p in pages), Counter()), **options)
+    return hx.learned(sum((hx.counted(p, first) for p in pages), Counter()), **options)
+
+
 def test_html():
-    weights = hx.learned(sum((hx.counted(PAGE.format("")) for _ in range(3)), Counter()))
+    weights = taught([PAGE.format("")] * 3)
     assert hx.extract(PAGE.format(""), weights) == "Big & bold One twothree four five"
     bare = PAGE.format("<div class=sidebar>links and more</div>").replace("<article>", "<div>").replace("</article>", "</div>")
     assert hx.extract(bare, weights) == "Big & bold One twothree four five"
-    for page in ("", "<!-- x", "<a href='", "<script>x", "</p></div>", "<nav><p>"):
+    for page in ("", "<!-- x", "<a href='", "<script>x", "</p></div>", "<nav><p>", "<", "<a", "<a b='", "<!", "</", "<a =>", "<p/ /x>y"):
         hx.extract(page, weights)
-    assert hx.extract("a < b <p>c", {}) == "a < b c"
-    assert hx.extract("<p>" + "word " * 20000, {}) == ("word " * 20000).strip()
+    none = hx.Weights()
+    assert hx.extract("a < b <p>c", none) == "a < b c"
+    assert hx.extract("<p>" + "word " * 20000, none) == ("word " * 20000).strip()
+
+
+def test_html_names_that_only_look_alike():
+    none = hx.Weights()
+    for names in ("share-price", "main-content related-topic", "entry-header", "lead", "searchlight"):
+        assert hx.extract(f'<article><p>one two</p><div class="{names}">three four</div></article>', none) == "one two three four"
+    for names in ("ad", "left-sidebar", "comment-list", "x footer-links", "site-header", "cookie-notice"):
+        assert hx.extract(f'<article><p>one two</p><div class="{names}">three four</div><p>five</article>', none) == "one two five"
+    assert hx.extract('<body class="search"><p>one two three</p></body>', none) == "one two three"
+    assert hx.extract('<div class="widget"><p>one two three</p></div>', none) == "one two three"
+
+
+def test_html_odd_markup():
+    none = hx.Weights()
+    assert hx.extract('<p class="a" title="5" tall">one <b title=\'x>y\'>two</b></p>', none) == "one two"
+    assert hx.extract("<p title='>'>one</p><p title=\"it's\">two</p>", none) == "one two"
+    assert hx.extract("<!-- <p>no</p> --><p>one</p><!-- end", none) == "one"
+    assert hx.extract("<p>one &lt;b&gt; &amp;amp; two", none) == "one <b> &amp; two"
+
+
+@pytest.mark.parametrize("piece", ["<article>", "<!", "<!--", "<title>", "<a b=\"", "<a b='x\" ", "<p><b>", "<footer>", "<nav>", "<x y=1 ", "&", "</p>"])
+def test_html_takes_linear_time(piece):
+    def seconds(n):
+        best = 9.0
+        for _ in range(3):
+            began = time.perf_counter()
+            hx.extract(piece * n + "<p>words", hx.Weights())
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert seconds(16_000) < 4 * 3 * max(seconds(4_000), 0.002)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_best_run(seed):
+    r = random.Random(seed)
+    scores = [r.choice([-3, -2, -1, 1, 2, 3]) for _ in range(r.randint(0, 14))]
+    a, b = hx.best_run(scores)
+    sums = {(i, j): sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)}
+    best = max([0, *sums.values()])
+    assert (sum(scores[a:b]) == best and b > a) if best > 0 else (a, b) == (0, 0)
+
+
+SITE = "<html><head><title>{0} title</title></head><body><{menu}><ul><li><a href=/>{1}</a></li><li><a>{2}</a></li></ul></{menu}><div class={ad}>{3}</div><article><h1>{4}</h1><p>{5}</p><ul><li>{6} <a href=/y>{7}</a></li></ul><p>{8}</article><div class={ad}>{9}</div><{foot}>{10}</{foot}></body></html>"
+
+
+def test_html_by_learned_weights_alone():
+    """No usual names, and labels hidden: the weights find the article."""
+    r = random.Random(5)
+    words = lambda: " ".join("".join(r.choices("abcdefg", k=4)) for _ in range(r.randint(1, 12)))
+    pages = [([words() for _ in range(11)]) for _ in range(60)]
+    html = [SITE.format(*x, menu="section", ad="zq17", foot="details") for x in pages]
+    weights = taught(html[:40], priors=False)
+    assert set(weights.odds) >= {"section", ".zq17", "details"} and "li" not in {k for k, v in weights.odds.items() if v < -1}
+    for x, p in zip(pages[40:], html[40:], strict=True):
+        want = " ".join(x[4:9])
+        assert hx.extract(p, weights) == want and hx.extract(p, weights, hidden=True) == want
+        assert hx.extract(p.replace("<article>", "").replace("</article>", ""), weights) == want
