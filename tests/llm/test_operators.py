@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from math import comb
 
 import numpy as np
 import pytest
@@ -329,13 +330,74 @@ def test_stats(spark):
         assert (got[i].base_failed, got[i].kept) == (failed, not failed)
 
 
-def test_thresholds(spark):
+def tail(k, n, p):
+    return sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) if k < n * p else 1.0
+
+
+def test_exact_tail(spark):
+    cases = [(0, 50, 0.05), (3, 200, 0.05), (9, 100, 0.2), (20, 100, 0.1), (1, 1, 0.5), (0, 1, 0.02), (900, 60_000, 0.02)]
+    df = spark.createDataFrame(cases, "k long, n long, p double")
+    for p in {c[2] for c in cases}:
+        for r in df.where(F.col("p") == p).select("k", "n", quality_rules.log_tail(F.col("k"), F.col("n"), p).alias("t")).collect():
+            assert -60 < r.t < -30 if r.k == 900 else abs(np.exp(r.t) - tail(r.k, r.n, p)) < 1e-9
+    # beyond TERMS the bound is on the safe side
+    far = spark.sql("SELECT 19500L AS k, 1000000L AS n").select(quality_rules.log_tail(F.col("k"), F.col("n"), 0.02).alias("t")).first().t
+    assert -7 < far < -5  # the tail itself is about exp(-8.5)
+
+
+def brute_cutoffs(good, folds, strata, risk, error, share):
+    rules, out = len(quality_rules.RULES), {}
+    for s in {x[1] for x in good}:
+        fit = [x[2] for x in good if x[1] == s and folds[x[0]] == 0]
+        held = [x[2] for x in good if x[1] == s and folds[x[0]] != 0]
+        if not fit or not held:
+            continue
+        best = None
+        for j in range(quality_rules.LEVELS):
+            cut = [max(t for t in range(quality_rules.STEPS + 1) if sum(x[r] <= t for x in fit) <= j * share * len(fit)) for r in range(rules)]
+            rejected = sum(any(x[r] <= cut[r] for r in range(rules)) for x in held)
+            if tail(rejected, len(held), risk) > error / strata:
+                break
+            best = (cut, j, len(held), rejected)
+        if best:
+            out[s] = best
+    return out
+
+
+def test_cutoffs_by_definition(spark):
+    r = random.Random(12)
+    top = quality_rules.STEPS + 1
+    good = [(i, [None, "a", "b", "few"][3 if i < 5 else r.randrange(3)], [min(top, max(1, int(r.expovariate(1 / 900)))) for _ in quality_rules.RULES]) for i in range(1200)]
+    df = spark.createDataFrame(good, "id long, s string, steps array<int>")
+    folds = {x.id: x.f for x in df.select("id", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(quality_rules.FIT)).alias("f")).collect()}
+    got = {x.s: (list(x.cutoffs), x.level, x.n, x.rejected) for x in quality_rules.cutoffs(df, "id", "s", "steps", 4, risk=0.2, error=0.2, share=0.004).collect()}
+    want = brute_cutoffs(good, folds, 4, 0.2, 0.2, 0.004)
+    assert got == want and 0 < max(x[1] for x in want.values())
+    assert quality_rules.cutoffs(df.limit(0), "id", "s", "steps", 0).count() == 0
+
+
+def test_the_bound_holds(spark):
+    """Each stratum is a draw of its own, of documents that a cutoff of t rejects with chance t / STEPS."""
+    strata, risk, level = 300, 0.05, 0.05
+    step = (F.floor(F.rand(5) * quality_rules.STEPS) + 1).cast("int")
+    others = [F.lit(quality_rules.STEPS + 1)] * (len(quality_rules.RULES) - 1)
+    df = spark.range(strata * 500).select("id", (F.col("id") % strata).cast("string").alias("s"), F.array(step, *others).alias("steps"))
+    found = quality_rules.cutoffs(df, "id", "s", "steps", strata, risk=risk, error=level * strata, share=0.005).collect()
+    wrong = sum(x.cutoffs[0] / quality_rules.STEPS > risk for x in found)
+    assert len(found) > 250 and wrong <= 300 * level + 3 * (300 * level * (1 - level)) ** 0.5
+    assert sum(x.cutoffs[0] for x in found) / len(found) / quality_rules.STEPS > 0.4 * risk  # and it is put to use
+
+
+def test_judge(spark):
     r = random.Random(11)
     texts = [sentence(r, 30, 300) for _ in range(3000)] + [" ".join(f"w{r.randrange(300)}###" for _ in range(30)) for _ in range(200)] + [None, "", "a"]
     df = docs(spark, texts).withColumn("lang", F.lit(None).cast("string"))
-    labels = spark.createDataFrame([(i, int(i < 3000)) for i in range(3200)] + [(0, None)], "doc_id long, quality int")
-    got = by_id(quality_rules.judge(df, labels, risk=0.05))
+    labels = spark.createDataFrame([(i, int(i < 3000)) for i in range(3200)] + [(0, None), (1, 0), (1, 1), (1, 1)], "doc_id long, quality int")
+    got = by_id(quality_rules.judge(df.union(df.where("doc_id = 3")), labels))
     assert not any(got[i].kept for i in range(3000, 3200))
-    assert sum(not got[i].kept for i in range(3000)) <= 0.05 * 3000 and not got[3200].kept
+    assert sum(not got[i].kept for i in range(3000)) <= 0.02 * 3000 and not got[3200].kept
     few = by_id(quality_rules.judge(df.where("doc_id < 100"), labels))
     assert all(x.kept for x in few.values())
+    assert quality_rules.judge(df.limit(0), labels).count() == 0
+    long = docs(spark, ["word and others " * 30_000, "a " * 100_000])
+    assert [(x.n_words, x.base_failed) for x in quality_rules.judge(long, labels).orderBy("doc_id").collect()] == [(90_000, True), (100_000, True)]

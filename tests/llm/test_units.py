@@ -132,15 +132,6 @@ def test_fit_separates():
     assert alone[0] > 0.99
 
 
-def test_exact_bound():
-    from math import comb
-
-    for k, n, p in ((0, 50, 0.05), (3, 200, 0.05), (9, 100, 0.2), (20, 100, 0.1)):
-        tail = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
-        for level in (0.5 * tail, 2 * tail):
-            assert quality_rules.upper_tail_ok(k, n, p, level) == (k < n * p and tail <= level)
-
-
 def test_estimate_finds_the_reliable_labeler():
     r = random.Random(4)
     counts = Counter()
