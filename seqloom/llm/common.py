@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom import util
+
 #: Rows of one Arrow batch at most; texts may be long, so a batch is kept small.
 ARROW_ROWS = 1024
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -20,25 +18,39 @@ NULL_ID = 2**63 - 1
 
 
 def small_arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches at `rows` rows or fewer, so that long texts don't pile up in one batch."""
+    """Keep the session's Arrow batches at `rows` rows or fewer, so that long texts don't pile up in one batch.
+
+    The setting stays: plans are lazy and read it when they run. A session that has it lower keeps its own.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; below the temporary folder only where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "seqloom")
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame) -> DataFrame:
     """`df` as a table in the shared folder, with its lineage cut; a lost executor costs nothing but its running tasks."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return util.written(df)
+
+
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Rows (row: all columns of `docs` as a structure, and `columns`), so that no name of theirs can clash with ours."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), *[x.alias(c) for c, x in columns.items()])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def field(row: str, name: str) -> Column:
+    """A column out of the structure that packed() made."""
+    return F.col(f"{row}.{quoted(name)}")
+
+
+def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns that packed() put into row, those of `new` in place of them or after them."""
+    own = [new.pop(c).alias(c) if c in new else field("row", c).alias(c) for c in columns]
+    return rows.select(*own, *[x.alias(c) for c, x in new.items()])
 
 
 def lower_ascii(text: Column) -> Column:

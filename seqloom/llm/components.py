@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternating stars: each round hangs every node's larger neighbours, then its smaller ones, on the
     least node near it, until nothing moves; rounds grow with the logarithm of the longest path. Each
-    round is written to the shared folder, which cuts the lineage. Loops and repeated edges do no harm; rows
+    round is written to the shared folder, which cuts the lineage, and so are the minima that edges are joined with:
+    a table that was written is a plain side of a join, which Spark can split where one node has very many edges. Loops and repeated edges do no harm; rows
     with a null end are left out; no edges give no rows.
     """
     x, y = F.col(a), F.col(b)
@@ -32,11 +33,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least(both).select("u", F.least("u", "m").alias("m"))
+        least = written(_least(both).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = written(large)
         # every edge now points from the larger node u to a smaller v
-        least = _least(large)
+        least = written(_least(large))
         hung = large.join(least, "u")
         now = written(hung.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     else:

@@ -188,6 +188,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     cut = places if whole <= sample else int(places * sample / whole)
     chosen = known.where(F.pmod(F.xxhash64("__id"), F.lit(places)) < cut)  # about `sample` rows of 16 bytes: safe to broadcast
     rows = docs.select(key.alias("__id"), F.col(text_col).cast("string").alias("__text"), *[F.col(c).cast("double").alias(f"__meta{i}") for i, c in enumerate(metadata)]).join(F.broadcast(chosen), "__id")
+    # a repeated id gives one row, that with the least text, so that the bound on the sample holds
+    one = F.min(F.struct("__text", *[f"__meta{i}" for i in range(len(metadata))], "__label")).alias("r")
+    rows = rows.groupBy("__id").agg(one).select("__id", "r.*")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,4 +253,6 @@ def keep_good(docs: DataFrame, machine: Machine, text_col: str = "text", metadat
             found = scores(utf8_column(batch.column(place)), [_numbers(batch.column(i)) for i in others])
             yield batch.filter(pa.array(found >= cutoff, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    # names with dots can't go through an Arrow function, so columns go by number
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return numbered.mapInArrow(keep, numbered.schema).toDF(*docs.columns)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import NULL_ID, SPACES, lower_ascii, written
+from seqloom.llm.common import NULL_ID, SPACES, field, lower_ascii, packed, quoted, unpacked, written
 
 
 def line_key(line: Column) -> Column:
@@ -23,9 +23,9 @@ def line_key(line: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`docs` with __id and __hash, which tell rows apart up to those that are equal, and __lines."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__hash": F.xxhash64(text), "__lines": F.split(text, "\n")})
+    """Rows (row, __id, __hash, __text, __lines) of `docs`; __id and __hash tell rows apart up to those that are equal."""
+    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
+    return packed(docs, __id=F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(NULL_ID)), __hash=F.xxhash64(text), __text=text, __lines=F.split(text, "\n"))
 
 
 def _dropped(keyed: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
@@ -44,13 +44,12 @@ def _dropped(keyed: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
 
 
 def _deduplicated(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
-    """`docs` with __lines, __drop and __kept."""
-    keyed = _keyed(docs, id_col, text_col)
-    drop = _dropped(_keyed(docs.select(id_col, text_col), id_col, text_col), min_chars, min_docs)
-    both = keyed.join(drop, ["__id", "__hash"], "left")
+    """Rows (row, __lines, __drop, __kept) of `docs`."""
+    drop = _dropped(_keyed(docs.select(quoted(id_col), quoted(text_col)), id_col, text_col), min_chars, min_docs)
+    both = _keyed(docs, id_col, text_col).join(drop, ["__id", "__hash"], "left")
     places = F.sequence(F.lit(0), F.size("__lines") - 1)
     left = F.transform(F.array_except(places, F.col("__drop")), lambda i: F.get(F.col("__lines"), i))
-    return both.withColumn("__kept", F.when(F.col("__drop").isNull(), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).otherwise(F.array_join(left, "\n")))
+    return both.withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("__text")).otherwise(F.array_join(left, "\n")))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
@@ -58,12 +57,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     min_docs = 2 needs no count of distinct documents: a hash's smallest and largest id differ.
     """
-    out = _deduplicated(docs.select(id_col, text_col), id_col, text_col, min_chars, min_docs)
+    out = _deduplicated(docs.select(quoted(id_col), quoted(text_col)), id_col, text_col, min_chars, min_docs)
     dropped = F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop"))
-    return out.select(F.col(id_col), F.col("__kept").alias(text_col), F.size("__lines").cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
+    return out.select(field("row", id_col).alias(id_col), F.col("__kept").alias(text_col), F.size("__lines").cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
 
 
 def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """`docs` with the text that is left and all its columns; a null text stays null."""
+    """`docs` with the text that is left and all its columns, whatever their names; a null text stays null."""
     out = _deduplicated(docs, id_col, text_col, min_chars, min_docs)
-    return out.select(*[F.when(F.col(text_col).isNotNull(), F.col("__kept")).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return unpacked(out, docs.columns, **{text_col: F.when(field("row", text_col).isNotNull(), F.col("__kept"))})

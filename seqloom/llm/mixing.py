@@ -14,16 +14,18 @@ three documents of each source that are no larger than what is still off are the
 broadcast while it has SENT rows or fewer.
 
 A null text has size 0 and is never taken. A null source is a source of its own that comes last. Repeated
-rows and ids each give a row; equal ids of equal size draw alike. An empty table gives no rows. Extra columns
+rows and ids each give a row; equal ids of equal size and source are taken alike. An empty table gives no rows. Extra columns
 are ignored by mix() and kept by mixed_documents().
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import written
+from seqloom.llm.common import packed, quoted, unpacked, written
 
 #: Weights of the sources in their order, repeating; words of the mix for each word there is; copies at most.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -120,6 +122,10 @@ def multipliers(sizes: DataFrame, targets: DataFrame, most: int = MOST) -> DataF
                 "low", "high", F.coalesce(off, "off").alias("off"),
             )
         )
+    else:
+        left = now.where(~F.col("full") & (F.col("target") > 0) & (F.col("off") > CLOSE)).agg(F.count("*"), F.max("off")).first()
+        if left[0]:
+            warnings.warn(f"{left[0]} sources are not settled after {ROUNDS} rounds; the farthest is off its target by {left[1]:.2g} of it", stacklevel=2)
     return now.drop("low", "high", "off")
 
 
@@ -164,32 +170,42 @@ def _repaired(rated: DataFrame, cuts: DataFrame) -> DataFrame:
     return now
 
 
+def _source(source_col: str) -> Column:
+    """The source as a text that sorts null last; the first letter keeps the order of the others."""
+    source = F.col(quoted(source_col)).cast("string")
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
+
+
 def _rated(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: float, most: int) -> tuple[DataFrame, DataFrame]:
-    source = F.col(source_col).cast("string")
-    # the first letter puts null last and keeps the order of the others
-    src = F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
-    sizes = written(docs.select(F.col(id_col).cast("long").alias("id"), word_count(F.col(text_col).cast("string")).alias("size"), src.alias("src")))
+    sizes = written(docs.select(F.col(quoted(id_col)).cast("long").alias("id"), word_count(F.col(quoted(text_col)).cast("string")).alias("size"), _source(source_col).alias("src")))
     targets = multipliers(sizes, written(source_targets(sizes, weights, share, most)), most)
     draw = F.pmod(F.xxhash64("id", "size"), F.lit(1 << 40)) / float(1 << 40)
     rated = sizes.join(_per_source(targets, targets.count()), "src").withColumn("rate", _rate(most)).withColumn("rest", F.col("rate") - F.floor("rate")).withColumn("key", F.col("rest") - draw)
     return rated, targets
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """Rows (id, size, source_size, target, taken, copies, rate) for each row of `docs`."""
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """Rows (src, id, size, source_size, target, rate, copies) for each row of `docs`; the first three decide on the others."""
     rated, targets = _rated(docs, id_col, text_col, source_col, weights, share, most)
     more = (F.col("rest") > 0) & F.col("cut").isNotNull() & ((F.col("key") >= F.col("cut")) != F.coalesce(F.array_contains("flip", F.col("id")), F.lit(False)))
     copies = F.least(F.lit(most), F.floor("rate") + more.cast("int")).cast("long")
     cuts = _repaired(rated, written(_cuts(rated, targets)))
-    out = rated.join(_per_source(cuts.drop("need"), targets.count()), "src", "left").withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
+    return rated.join(_per_source(cuts.drop("need"), targets.count()), "src", "left").withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """Rows (id, size, source_size, target, taken, copies, rate) for each row of `docs`."""
+    out = _mixed(docs, id_col, text_col, source_col, weights, share, most)
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """`docs` with each row as often as the mix takes it, and copy_number, from 1."""
-    found = mix(docs, id_col, text_col, source_col, **options).where("copies > 0").select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("copies").alias("__copies")).distinct()
-    size = word_count(F.col(text_col).cast("string"))
-    keyed = docs.withColumn("__own", size)
-    out = keyed.join(found, keyed[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__size")))
-    own = [F.col(c) for c in docs.columns if c != "copy_number"]
-    return out.select(*own, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy_number"))
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """`docs` with each row as often as the mix takes it, and copy_number, from 1, in place of a column of that name.
+
+    Rows meet their copies by source, id and size, on which alone these depend; null ids and sources meet as well.
+    """
+    found = _mixed(docs, id_col, text_col, source_col, weights, share, most).where("copies > 0").select("src", "id", "size", "copies").distinct()
+    own = packed(docs, src=_source(source_col), own=F.col(quoted(id_col)).cast("long"), words=word_count(F.col(quoted(text_col)).cast("string")))
+    met = (own["src"] == found["src"]) & own["own"].eqNullSafe(found["id"]) & (own["words"] == found["size"])
+    out = own.join(found, met).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return unpacked(out, [c for c in docs.columns if c != "copy_number"], copy_number=F.col("copy"))

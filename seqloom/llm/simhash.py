@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import small_arrow_batches, utf8_column, written
+from seqloom.llm.common import packed, quoted, small_arrow_batches, unpacked, utf8_column, written
 from seqloom.llm.components import connected_components
 
 BITS, BUDGET, SHINGLE, SEED = 64, 2, 3, 42
@@ -221,8 +221,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prints = written(fingerprints(docs, id_col, text_col, shingle=shingle, seed=seed))
     entries = written(prints.groupBy("fp").agg(F.min("id").alias("first")))
     roots = connected_components(near_links(entries.select("fp"), budget=budget, max_group=max_group))
-    placed = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    # both sides written, so that a join on the root of a large component can be split
+    placed = written(entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    least = written(placed.groupBy("root").agg(F.min("first").alias("component_id")))
     classes = placed.join(least, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
@@ -237,11 +238,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of `docs` that keep_first() keeps under the components `found` (id, component_id)."""
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    repeated = written(found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).count().where("count > 1").select("__again"))
-    out = docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi")
+    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("id")).distinct()
+    repeated = written(found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).count().where("count > 1").select("id"))
+    rows = packed(docs, id=F.col(quoted(id_col)).cast("long"), text=F.col(quoted(text_col)).cast("string"))
+    out = rows.join(kept, "id", "left_semi")
     if not repeated.isEmpty():
-        several = out.join(repeated, out[id_col] == F.col("__again"), "left_semi")
-        one = several.withColumn("__row", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where("__row = 1").drop("__row")
-        out = out.join(repeated, out[id_col] == F.col("__again"), "left_anti").unionByName(one)
-    return out.unionByName(docs.where(F.col(id_col).isNull()))
+        several = out.join(repeated, "id", "left_semi")
+        one = several.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("text"))).where("place = 1").drop("place")
+        out = out.join(repeated, "id", "left_anti").unionByName(one)
+    return unpacked(out.unionByName(rows.where("id IS NULL")), docs.columns)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from math import comb
 
@@ -33,22 +34,41 @@ def by_id(df, key="doc_id"):
 # --- 1
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 25, 200])
-def test_decontaminate(spark, block_bytes):
+@pytest.mark.parametrize("bits", [decontaminate.BITS, 2])
+def test_decontaminate(spark, bits):
     r = random.Random(1)
     items = [(i, sentence(r, n)) for i, n in enumerate([0, 1, 4, 10, 25, 30])] + [(6, None), (None, "w1 w2"), (4, "w1 w1 w1")]
     texts = [None, "", *[sentence(r, 40) for _ in range(5)], sentence(r, 9) + " " + items[4][1].upper() + " " + sentence(r, 30), items[5][1], items[5][1]]
-    df = docs(spark, texts, "1 AS n_words;'x' AS items")
+    df = docs(spark, texts, "1 AS n_words;'x' AS items;3 AS key;4 AS hash;5 AS row;'y' AS hits")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.decontaminate(df.union(df.limit(0)), bench, block_bytes=block_bytes)
+    got = decontaminate.decontaminate(df.union(df.limit(0)), bench, bits=bits)
     known = [(str(i), t) for i, t in items if i is not None]
     want = {i: brute_marks(t, known) for i, t in enumerate(texts)}
     assert {k: (x.n_words, x.n_hit, sorted(x["items"])) for k, x in by_id(got).items()} == want
-    clean = decontaminate.clean_documents(df, bench, block_bytes=block_bytes)
+    clean = decontaminate.clean_documents(df, bench, bits=bits)
     assert clean.columns == df.columns
     assert {x.doc_id for x in clean.collect()} == {i for i, x in want.items() if not x[1]}
     assert decontaminate.decontaminate(df.limit(0), bench.limit(0)).count() == 0
-    assert decontaminate.decontaminate(df.union(df), bench, block_bytes=block_bytes).count() == 2 * len(texts)
+    assert decontaminate.decontaminate(df.union(df), bench, bits=bits).count() == 2 * len(texts)
+
+
+def test_items_that_share_their_first_words(spark):
+    r = random.Random(3)
+    head = "these are the first twelve words that all of the items share"
+    bench = spark.range(20_000).select(F.col("id").alias("item_id"), F.concat(F.lit(head + " "), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda j: F.concat(F.lit("x"), F.xxhash64("id", j).cast("string"))), " ")).alias("text"))
+    texts = [head + " " + sentence(r, 150) for _ in range(20)] + ["the first twelve words " + sentence(r, 150)]
+    began = time.time()
+    got = by_id(decontaminate.decontaminate(docs(spark, texts), bench))
+    assert time.time() - began < 120
+    assert [(got[i].n_hit, got[i].n_items) for i in range(21)] == [(12, 20_000)] * 20 + [(0, 0)]
+
+
+def test_long_texts_and_hits(spark):
+    r = random.Random(4)
+    item = sentence(r, 400)
+    long = " ".join([item] * 200 + [sentence(r, 5000, 5000)])
+    got = by_id(decontaminate.decontaminate(docs(spark, [long, "z" * 1_000_000]), spark.createDataFrame([(1, item)], "item_id long, text string")))
+    assert (got[0].n_words, got[0].n_hit) == (85_000, 80_000) and (got[1].n_words, got[1].n_hit) == (1, 0)
 
 
 # --- 2

@@ -49,14 +49,35 @@ def brute_marks(text, items):
     return len(w), len(hit), sorted(ids)
 
 
+def bitmap(hashes, bits):
+    held = np.zeros(max(4096, (1 << bits) >> 3), dtype=np.uint8)
+    at = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return dc.Bitmap(bits, held)
+
+
 @pytest.mark.parametrize("seed", range(6))
-def test_marks(seed):
+def test_windows(seed):
+    """Every window that an item shares with a text comes out of the text's fingerprints."""
     r = random.Random(seed)
     some = lambda n: " ".join(r.choice(["a", "B", "c", "dd", "é"][: 2 + seed % 4]) for _ in range(n))
     items = [(str(i), some(n)) for i, n in enumerate([0, 1, 3, 9, 10, 14, 40, 40])]
     texts = [some(n) for n in (0, 1, 5, 9, 10, 30, 120, 300)] + [some(20) + " " + items[6][1] + "! " + some(20), items[7][1][20:]]
-    got = dc.marks([t.encode() for t in texts], dc.Items([(i, t.encode()) for i, t in items]))
-    assert [(n, sum(b - a for a, b in s), ids) for n, s, ids in got] == [brute_marks(t, items) for t in texts]
+    windows, kept = {}, []
+    for i, t in items:
+        fingerprints, n, first, second = dc.item_windows(Words([t.encode()], WORD_BYTES).hashes())
+        kept += fingerprints.tolist()
+        for key in zip(first.tolist(), second.tolist(), strict=True):
+            windows.setdefault((n, *key), set()).add(i)
+    index = dc.Index(bitmap(np.array(kept, dtype=np.uint64), 14), bitmap(np.array([w[1] for w in windows], dtype=np.uint64), 14), sorted({w[0] for w in windows} - {10}))
+    docs = Words([t.encode() for t in texts], WORD_BYTES)
+    hit, ids = [set() for _ in texts], [set() for _ in texts]
+    for text, at, n, first, second in dc.document_windows(docs, index):
+        for t, p, *key in zip(text.tolist(), at.tolist(), first.tolist(), second.tolist(), strict=True):
+            if (n, *key) in windows:
+                hit[t].update(range(p, p + n))
+                ids[t] |= windows[n, *key]
+    assert [(int(n), len(h), sorted(i)) for n, h, i in zip(docs.counts, hit, ids, strict=True)] == [brute_marks(t, items) for t in texts]
 
 
 def slow_fingerprint(text):
