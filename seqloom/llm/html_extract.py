@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import small_arrow_batches
+from seqloom.llm.common import small_arrow_batches, written
 
 SAMPLE, SUPPORT = 4000, 3
 #: Elements that are no text, elements whose content is no markup, and elements that don't end a block. Fixed values.
@@ -373,7 +373,7 @@ def _counts(chosen: DataFrame, weights: Weights | None) -> dict[tuple[str, bool]
         keys = sorted(total)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())], names=["kind", "inside", "n"])
 
-    rows = chosen.mapInArrow(scan, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n"))
+    rows = written(chosen.mapInArrow(scan, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")))
     feature = F.substring_index("kind", "|", 1).isin("f", "p")
     often = rows.where(F.col("kind").startswith("p|") & (F.col("n") >= SUPPORT)).select(F.expr("substr(kind, 3)").alias("feature"))
     tags = "|".join(sorted(INLINE | VOID | USUAL_TAGS | MARKUP | set("div section ul ol li table thead tbody tr td th p article main details summary figure figcaption dl dt dd center html body h[1-6] pre blockquote hr address".split())))
@@ -388,7 +388,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", *,
     whole = pages.count()
     places = 1 << 30
     cut = places if whole <= sample else int(places * sample / whole)
-    chosen = pages.where(F.pmod(F.xxhash64(F.col(id_col), F.length(html_col)), F.lit(places)) < cut).select(F.col(html_col).cast("string").alias("html"))
+    chosen = written(pages.where(F.pmod(F.xxhash64(F.col(id_col), F.length(html_col)), F.lit(places)) < cut).select(F.col(html_col).cast("string").alias("html")))
     return learned(_counts(chosen, learned(_counts(chosen, None), priors=priors)), priors=priors)
 
 
