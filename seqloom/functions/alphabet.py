@@ -67,6 +67,19 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(complement(seq))
 
 
+def packed(seq: Column) -> Column:
+    """A DNA sequence in two bits for each base, as hexadecimal digits of two bases each, the last one filled with a."""
+    two = F.create_map(*[F.lit(x) for i, p in enumerate(x + y for x in "acgt" for y in "acgt") for x in (p, "0123456789abcdef"[i])])
+    whole = F.when(F.length(seq) % 2 == 1, F.concat(seq, F.lit("a"))).otherwise(seq)
+    return F.array_join(F.transform(F.regexp_extract_all(whole, F.lit("[acgt]{2}"), F.lit(0)), lambda p: two[p]), "")
+
+
+def unpacked(code: Column, n: Column) -> Column:
+    """The first n bases of a packed sequence."""
+    two = F.create_map(*[F.lit(x) for i, p in enumerate(x + y for x in "acgt" for y in "acgt") for x in ("0123456789abcdef"[i], p)])
+    return F.left(F.array_join(F.transform(F.split(code, ""), lambda d: F.coalesce(two[d], F.lit(""))), ""), n)
+
+
 def kmer_code(kmer: Column, symbols: str = "acgt") -> Column:
     """The k-mer as a number to the base of the alphabet's size, of 36 symbols at most."""
     digits = "0123456789abcdefghijklmnopqrstuvwxyz"[: len(symbols)]
@@ -86,36 +99,57 @@ def all_strings(spark: SparkSession, symbols: str, n: int) -> DataFrame:
     return spark.range(base**n).select(F.col("id").alias("code"), F.concat(*[digit(i) for i in range(n)]).alias("string"))
 
 
-#: Codon tables: differences from the standard code by table number. The standard code is given for
-#: bases in the order t, c, a, g, first base slowest. Fixed values.
-STANDARD_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
-CODE_CHANGES: dict[int, dict[str, str]] = {
-    1: {},
-    2: {"aga": "*", "agg": "*", "ata": "M", "tga": "W"},
-    3: {"ata": "M", "ctt": "T", "ctc": "T", "cta": "T", "ctg": "T", "tga": "W"},
-    4: {"tga": "W"},
-    5: {"aga": "S", "agg": "S", "ata": "M", "tga": "W"},
-    6: {"taa": "Q", "tag": "Q"},
-    9: {"aaa": "N", "aga": "S", "agg": "S", "tga": "W"},
-    10: {"tga": "C"},
-    11: {},
-    12: {"ctg": "S"},
-    13: {"aga": "G", "agg": "G", "ata": "M", "tga": "W"},
-    14: {"aaa": "N", "aga": "S", "agg": "S", "taa": "Y", "tga": "W"},
-    15: {"tag": "Q"},
-    16: {"tag": "L"},
-    21: {"tga": "W", "ata": "M", "aga": "S", "agg": "S", "aaa": "N"},
-    22: {"tca": "*", "tag": "L"},
-    23: {"tta": "*"},
+#: Codon tables by number: amino acids for bases in the order t, c, a, g, first base slowest, '*' for a stop. Fixed values.
+CODES: dict[int, str] = {
+    1: "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    2: "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSS**VVVVAAAADDEEGGGG",
+    3: "FFLLSSSSYY**CCWWTTTTPPPPHHQQRRRRIIMMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    4: "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    5: "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSSSSVVVVAAAADDEEGGGG",
+    6: "FFLLSSSSYYQQCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    9: "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNNKSSSSVVVVAAAADDEEGGGG",
+    10: "FFLLSSSSYY**CCCWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    11: "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    12: "FFLLSSSSYY**CC*WLLLSPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    13: "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSSGGVVVVAAAADDEEGGGG",
+    14: "FFLLSSSSYYY*CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNNKSSSSVVVVAAAADDEEGGGG",
+    15: "FFLLSSSSYY*QCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    16: "FFLLSSSSYY*LCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    21: "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNNKSSSSVVVVAAAADDEEGGGG",
+    22: "FFLLSS*SYY*LCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+    23: "FF*LSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
+}
+#: Codons that begin a protein by the number of the table; where none is given, atg only. Fixed values.
+STARTS: dict[int, tuple[str, ...]] = {
+    1: ("ttg", "ctg", "atg"),
+    2: ("att", "atc", "ata", "atg", "gtg"),
+    4: ("tta", "ttg", "ctg", "att", "atc", "ata", "atg", "gtg"),
+    5: ("ttg", "att", "atc", "ata", "atg", "gtg"),
+    11: ("ttg", "ctg", "att", "atc", "ata", "atg", "gtg"),
+    12: ("ctg", "atg"),
+    23: ("att", "atg", "gtg"),
 }
 
 
 def codon_table(number: int = 1) -> dict[str, str]:
     """Amino acid of each codon, '*' for a stop."""
-    if number not in CODE_CHANGES:
+    if number not in CODES:
         raise ValueError(f"no codon table {number}")
     codons = [a + b + c for a in "tcag" for b in "tcag" for c in "tcag"]
-    return dict(zip(codons, STANDARD_CODE, strict=True)) | CODE_CHANGES[number]
+    return dict(zip(codons, CODES[number], strict=True))
+
+
+def start_codons(number: int = 1) -> tuple[str, ...]:
+    if number not in CODES:
+        raise ValueError(f"no codon table {number}")
+    return STARTS.get(number, ("atg",))
+
+
+def start_places(seqs: DataFrame, table: int = 1) -> DataFrame:
+    """Rows (seqnum, pos, codon): every place at which a start codon stands, on the forward strand in all frames."""
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.length("seq").cast("long") - 3))
+    rows = seqs.where(F.length("seq") >= 3).select("seqnum", "seq", at.alias("pos"))
+    return rows.select("seqnum", "pos", F.substr(F.col("seq"), (F.col("pos") + 1).cast("int"), F.lit(3)).alias("codon")).where(F.col("codon").isin(*start_codons(table)))
 
 
 def translate_frame(seq: Column, frame: int, table: int = 1) -> Column:

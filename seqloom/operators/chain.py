@@ -19,16 +19,19 @@ KINDS = ("global", "gap_cost", "overlaps", "local")
 
 @dataclass(frozen=True)
 class ChainMode:
-    """kind: one of KINDS. best: which local chains count: ('max', 0), ('score', least), ('best', k scores), ('percent', below the greatest)."""
+    """kind: one of KINDS. cost: what a gap costs, 'sum' of both sides or 'max' of them. best: which local chains count: ('max', 0), ('score', least), ('best', k scores), ('percent', below the greatest)."""
 
     kind: str = "global"
     best: tuple[str, float] = ("max", 0)
     weight_factor: float = 1.0
     max_gap: int | None = None
+    cost: str = "sum"
 
     def __post_init__(self):
         if self.kind not in KINDS:
             raise ValueError(f"kind must be one of {KINDS}")
+        if self.cost not in ("sum", "max") or (self.cost == "max" and self.kind not in ("gap_cost", "local")):
+            raise ValueError("the cost must be sum or max, and max needs gap costs")
         if self.weight_factor != 1.0 and self.kind not in ("gap_cost", "local"):
             raise ValueError("a weight factor needs gap costs")
         if self.best[0] not in ("max", "score", "best", "percent"):
@@ -51,8 +54,9 @@ def best_chains(s1, e1, s2, e2, weight, mode: ChainMode) -> list[tuple[float, li
         return []
     order = np.lexsort((np.arange(n), s2, s1))
     s1, e1, s2, e2, weight = (x[order] for x in (s1, e1, s2, e2, weight))
-    first_gap = (s1 - s1.min()) + (s2 - s2.min()) if mode.kind == "gap_cost" else np.zeros(n)
-    last_gap = (e1.max() - e1) + (e2.max() - e2) if mode.kind == "gap_cost" else np.zeros(n)
+    both = np.add if mode.cost == "sum" else np.maximum
+    first_gap = both(s1 - s1.min(), s2 - s2.min()) if mode.kind == "gap_cost" else np.zeros(n)
+    last_gap = both(e1.max() - e1, e2.max() - e2) if mode.kind == "gap_cost" else np.zeros(n)
     total = weight - first_gap
     before = np.full(n, -1)
     head = np.arange(n)
@@ -68,7 +72,7 @@ def best_chains(s1, e1, s2, e2, weight, mode: ChainMode) -> list[tuple[float, li
             continue
         cost = np.zeros(len(i))
         if mode.kind in ("gap_cost", "local"):
-            cost = (s1[j] - e1[i]) + (s2[j] - e2[i])
+            cost = (s1[j] - e1[i]) + (s2[j] - e2[i]) if mode.cost == "sum" else np.maximum(s1[j] - e1[i], s2[j] - e2[i]) - 1
         elif mode.kind == "overlaps":
             cost = np.maximum(0, e1[i] - s1[j] + 1) + np.maximum(0, e2[i] - s2[j] + 1)
         value = total[i] - cost

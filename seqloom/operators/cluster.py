@@ -47,6 +47,12 @@ def sequence_clusters(matches: DataFrame, seqs: DataFrame, small_percent: int, l
     return seqs.select("seqnum").join(found, "seqnum", "left").select("seqnum", F.coalesce("cluster", "seqnum").alias("cluster"))
 
 
+def clusters_of_matched(matches: DataFrame, seqs: DataFrame, small_percent: int, large_percent: int) -> DataFrame:
+    """As sequence_clusters(), but only sequences that a match names are elements, as for clusters of stored matches."""
+    named = matches.select(F.explode(F.array("seq1", "seq2")).alias("seqnum")).distinct()
+    return sequence_clusters(matches, seqs.join(named, "seqnum", "left_semi"), small_percent, large_percent)
+
+
 def non_redundant(clusters: DataFrame, seqs: DataFrame) -> DataFrame:
     """The longest sequence of each cluster, of several the one with the least number."""
     best = clusters.join(seqs.select("seqnum", "len"), "seqnum").groupBy("cluster").agg(F.max(F.struct("len", (-F.col("seqnum")).alias("neg"))).alias("m"))

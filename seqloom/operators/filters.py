@@ -54,6 +54,11 @@ def ordered(matches: DataFrame, order: str) -> DataFrame:
     return matches.orderBy(key.asc() if up else key.desc(), *TIES)
 
 
+def by_diagonal(matches: DataFrame) -> DataFrame:
+    """Matches by diagonal, the greatest pos2 - pos1 first, then by pos2."""
+    return matches.orderBy((F.col("pos2") - F.col("pos1")).desc(), "pos2", *TIES)
+
+
 def best(matches: DataFrame, n: int) -> DataFrame:
     """The n best different matches: E-value, then longer and further left first."""
     keys = ["evalue", F.col("len1").desc(), "seq1", "pos1", F.col("len2").desc(), "seq2", "pos2"]

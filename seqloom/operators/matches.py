@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.functions.alphabet import reverse_complement
-from seqloom.operators.postings import postings
+from seqloom.functions.alphabet import WILDCARD, reverse_complement
+from seqloom.operators.postings import postings, with_text
 from seqloom.util import running_total
 
 KEY = ["h1", "h2"]
@@ -106,9 +106,8 @@ def instances(matches: DataFrame) -> DataFrame:
 
 
 def match_text(matches: DataFrame, seqs: DataFrame, side: int = 1) -> DataFrame:
-    """Matches with text, the string of one side."""
-    own = seqs.select(F.col("seqnum").alias(f"seq{side}"), F.col("seq").alias("__seq"))
-    return matches.join(own, f"seq{side}").withColumn("text", F.substr(F.col("__seq"), (F.col(f"pos{side}") + 1).cast("int"), F.col("len").cast("int"))).drop("__seq")
+    """Matches, which must be distinct, with text, the string of one side."""
+    return with_text(matches, seqs, f"seq{side}", F.col(f"pos{side}"), F.col("len"), "text")
 
 
 def supermaximal_repeats(db: DataFrame, least: int, repeats: DataFrame | None = None) -> DataFrame:
@@ -160,9 +159,70 @@ def length_histogram(matches: DataFrame) -> DataFrame:
     return matches.groupBy(F.col("len").alias("length")).agg(F.count("*").alias("cnt"))
 
 
-def multi_matches(seqs: DataFrame, least: int) -> DataFrame:
-    """Rows (kmer, seqnum, pos) of strings of `least` characters that occur in every one of the sequences; hashes stand for them."""
-    rows = postings(seqs, least, text=True)
-    n = seqs.select("seqnum").distinct().agg(F.count("*").alias("__n"))
-    shared = rows.select(*KEY, "seqnum").distinct().groupBy(*KEY).agg(F.count("*").alias("c")).join(F.broadcast(n), F.col("c") == F.col("__n")).select(*KEY)
-    return rows.join(shared, KEY, "left_semi").select("kmer", "seqnum", "pos")
+def online_matches(db: DataFrame, query: DataFrame, least: int) -> DataFrame:
+    """As query_matches(), with the roles of the sides swapped: the query's postings are cut down to the database's set of k-mers."""
+    d = postings(db, least)
+    q = postings(query, least).join(d.select(*KEY).distinct(), KEY, "left_semi")
+    pairs = q.withColumnsRenamed({"seqnum": "seq2", "pos": "pos2"}).join(d.withColumnsRenamed({"seqnum": "seq1", "pos": "pos1"}), KEY)
+    return islands(pairs.select("seq1", "pos1", "seq2", "pos2"), least)
+
+
+def stored_matches(db: DataFrame, query: DataFrame, least: int) -> DataFrame:
+    """All maximal matches of two stores of postings (seqnum, pos, h1, h2) of k = `least`."""
+    both = db.withColumnsRenamed({"seqnum": "seq1", "pos": "pos1"}).join(query.withColumnsRenamed({"seqnum": "seq2", "pos": "pos2"}), KEY)
+    return islands(both.select("seq1", "pos1", "seq2", "pos2"), least)
+
+
+def in_database_ranges(found: DataFrame, db: DataFrame, ranges: DataFrame, least: int) -> DataFrame:
+    """Matches as they are if the database of each query is cut to the absolute places `from` to `to` of `ranges` (seqnum, from, to).
+
+    A maximal match of the cut text is a maximal match of the whole, cut; those that keep `least` characters stay. A query
+    without a range keeps the whole database.
+    """
+    at = absolute(db).select(F.col("seqnum").alias("seq1"), F.col("abs_start").alias("__abs"))
+    rows = found.join(at, "seq1").join(ranges.select(F.col("seqnum").alias("seq2"), F.col("from").alias("__from"), F.col("to").alias("__to")), "seq2", "left")
+    start = F.col("__abs") + F.col("pos1")
+    off = F.greatest(F.lit(0).cast("long"), F.coalesce(F.col("__from") - start, F.lit(0).cast("long")))
+    end = F.least(F.col("len"), F.coalesce(F.col("__to") + 1 - start, F.col("len")))
+    return rows.where(end - off >= least).select("seq1", (F.col("pos1") + off).alias("pos1"), "seq2", (F.col("pos2") + off).alias("pos2"), (end - off).alias("len"))
+
+
+def protein_query_matches(proteins: DataFrame, dna: DataFrame, least: int, table: int = 1) -> DataFrame:
+    """Matches of protein sequences with the six frames of DNA queries: (seq1, pos1, seq2, frame, pos2, len, dna_len).
+
+    pos1 and len are amino acids, pos2 and dna_len bases of the query's forward strand. An amino acid that isn't known (X) and
+    a stop match nothing.
+    """
+    from seqloom.functions.alphabet import frame_to_dna, six_frames
+
+    frames = six_frames(dna, table)
+    plain = lambda c: F.translate(c, "X*", WILDCARD * 2)
+    query = frames.select((F.col("seqnum") * 6 + F.col("frame")).alias("seqnum"), plain(F.col("seq")).alias("seq"))
+    found = query_matches(proteins.withColumn("seq", plain(F.col("seq"))), query, least)
+    sizes = dna.select(F.col("seqnum").alias("__of"), F.length("seq").cast("long").alias("__n"))
+    rows = found.withColumns({"__of": F.floor(F.col("seq2") / 6), "frame": F.pmod(F.col("seq2"), F.lit(6)).cast("int")}).join(sizes, "__of")
+    return rows.select("seq1", "pos1", F.col("__of").alias("seq2"), "frame", frame_to_dna(F.col("frame"), F.col("pos2"), F.col("len"), F.col("__n")).alias("pos2"), "len", (F.col("len") * 3).alias("dna_len"))
+
+
+def multi_matches(seqs: DataFrame, least: int, rare: int = 1) -> DataFrame:
+    """Maximal matches that are present in all genomes: rows (seqs, starts, len), one sequence and place of each genome, in their order.
+
+    seqs: (genome, seqnum, seq), with few genomes and at least two. Strings of `least` characters that occur more than `rare` times in a genome
+    are left out, which bounds the combinations of places to `rare` in each further genome. A match goes on while such a string
+    starts at the next place of all genomes.
+    """
+    rows = None
+    genomes = sorted(r[0] for r in seqs.select("genome").distinct().collect())
+    if len(genomes) < 2:
+        raise ValueError("matches of several genomes need two at least")
+    for i, g in enumerate(genomes):
+        at = postings(seqs.where(F.col("genome") == F.lit(g)).select("seqnum", "seq"), least)
+        often = at.groupBy(*KEY).agg(F.count("*").alias("__c")).where(F.col("__c") <= rare).select(*KEY)
+        own = at.join(often, KEY, "left_semi").select(*KEY, F.struct("seqnum", "pos").alias(f"p{i}"))
+        rows = own if rows is None else rows.join(own, KEY)
+    places = [f"p{i}" for i in range(len(genomes))]
+    rows = rows.select(F.array(*[F.col(p)["seqnum"] for p in places]).alias("seqs"), F.array(*[F.col(p)["pos"] for p in places]).alias("starts"))
+    rows = rows.withColumns({"__first": F.get("starts", F.lit(0)), "__diag": F.transform("starts", lambda x: x - F.get(F.col("starts"), F.lit(0)))})
+    w = Window.partitionBy("seqs", "__diag").orderBy("__first")
+    runs = rows.withColumn("__run", F.col("__first") - F.row_number().over(w))
+    return runs.groupBy("seqs", "__diag", "__run").agg(F.min("__first").alias("__at"), (F.count("*") + (least - 1)).alias("len")).select("seqs", F.transform("__diag", lambda d: d + F.col("__at")).alias("starts"), "len")

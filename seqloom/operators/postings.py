@@ -44,6 +44,29 @@ def pieces(seqs: DataFrame, k: int, *, piece: int = PIECE) -> DataFrame:
     return _cut(_cut(spread(seqs.select("seqnum", F.lit(0).cast("long").alias("start"), F.col("seq").alias("part"))), k, BLOCK), k, piece)
 
 
+def text_blocks(seqs: DataFrame, size: int) -> DataFrame:
+    """Rows (seqnum, block, text): each sequence in blocks of `size` characters, cut in one scan."""
+    return seqs.select("seqnum", F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).alias("block", "text"))
+
+
+def with_text(rows: DataFrame, seqs: DataFrame, seqnum: str, start: Column, length: Column, name: str, *, size: int = 4096) -> DataFrame:
+    """`rows`, which must be distinct, with `name`: `length` characters from `start` of the sequence in column `seqnum`.
+
+    Rows meet the blocks that they need, so that no row carries a whole sequence through a shuffle. What lies outside
+    the sequence is left out; rows of unknown sequences are.
+    """
+    key = rows.columns
+    asked = rows.withColumns({"__from": F.greatest(start, F.lit(0)).cast("long"), "__end": (start + length).cast("long")})
+    first, last = F.floor(F.col("__from") / size), F.floor(F.greatest(F.col("__end") - 1, F.col("__from")) / size)
+    asked = asked.withColumn("__block", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    blocks = text_blocks(seqs, size).select(F.col("seqnum").alias("__seqnum"), F.col("block").alias("__b"), F.col("text").alias("__text"))
+    met = asked.join(blocks, (F.col(seqnum) == F.col("__seqnum")) & (F.col("__block") == F.col("__b")))
+    held = met.groupBy(*key, "__from", "__end").agg(F.array_sort(F.collect_list(F.struct("__b", "__text"))).alias("__held"))
+    text = F.array_join(F.transform("__held", lambda x: x["__text"]), "")
+    cut = F.substr(text, (F.col("__from") - F.get(F.col("__held"), F.lit(0))["__b"] * size + 1).cast("int"), F.greatest(F.col("__end") - F.col("__from"), F.lit(0)).cast("int"))
+    return held.withColumn(name, cut).select(*key, name)
+
+
 def windows(seqs: DataFrame, k: int, *, piece: int = PIECE) -> DataFrame:
     """Rows (seqnum, pos, kmer) for every place, wildcards included."""
     cut = pieces(seqs, k, piece=piece)
@@ -87,11 +110,17 @@ def occurrence_ratio(seqs: DataFrame, least_k: int, most_k: int) -> DataFrame:
     )
 
 
-def kmer_search(db: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """Rows (seqnum, pos, kmer, cnt): places of the query whose k-mer is in the database, and how often it is there.
+def kmer_search(db: DataFrame, query: DataFrame, k: int, strands: str = "f") -> DataFrame:
+    """Rows (seqnum, pos, kmer, cnt) of the query whose k-mer is in the database, and how often it is there.
 
-    The database is cut down to the query's k-mers before it is counted.
+    strands: 'f' for the query's k-mers as they are, 'p' for their reverse complements, at the same place, 'fp' for
+    both, which adds the column strand. The database is cut down to the query's k-mers before it is counted.
     """
-    wanted = windows(query, k).where(~F.contains(F.col("kmer"), F.lit(WILDCARD)))
+    if strands not in ("f", "p", "fp"):
+        raise ValueError("strands must be f, p or fp")
+    at = windows(query, k).where(~F.contains(F.col("kmer"), F.lit(WILDCARD)))
+    parts = {"f": at.withColumn("strand", F.lit("f")), "p": at.withColumns({"kmer": reverse_complement(F.col("kmer")), "strand": F.lit("p")})}
+    wanted = parts[strands[0]] if len(strands) == 1 else parts["f"].unionByName(parts["p"])
     counts = windows(db, k).join(wanted.select("kmer").distinct(), "kmer", "left_semi").groupBy("kmer").agg(F.count("*").alias("cnt"))
-    return wanted.join(counts, "kmer").select("seqnum", "pos", "kmer", "cnt")
+    found = wanted.join(counts, "kmer")
+    return found.select("seqnum", "pos", "kmer", "cnt", *(["strand"] if strands == "fp" else []))

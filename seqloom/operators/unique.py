@@ -11,21 +11,27 @@ from seqloom.util import written
 
 
 def minimum_unique_prefixes(db: DataFrame, query: DataFrame, least: int, most: int) -> DataFrame:
-    """Rows (seqnum, pos, length): from each place of the query the shortest string of `least` to `most` characters that occurs once in the database.
+    """Rows (seqnum, pos, length): from each place of the query the shortest string that occurs once in the database, if it has `least` to `most` characters.
 
-    Lengths go up; only places whose string still occurs several times go on, and the database is cut to their strings.
+    A string occurs no more often than one it begins with, so places whose string of least - 1 characters doesn't occur
+    several times are out. Lengths go up from there; only places whose string still occurs several times go on, and
+    the database is cut to their strings.
     """
     out, open_ = None, None
-    for k in range(least, most + 1):
+    for k in range(max(1, least - 1), most + 1):
         at = windows(query, k).where(~F.contains("kmer", F.lit(WILDCARD)))
         if open_ is not None:
             at = at.join(open_, ["seqnum", "pos"], "left_semi")
         counts = windows(db, k).join(at.select("kmer").distinct(), "kmer", "left_semi").groupBy("kmer").agg(F.count("*").alias("n"))
         known = written(at.join(counts, "kmer").select("seqnum", "pos", "n"))
-        found = known.where("n = 1").select("seqnum", "pos", F.lit(k).cast("long").alias("length"))
-        out = found if out is None else out.unionByName(found)
+        if k >= least:
+            found = known.where("n = 1").select("seqnum", "pos", F.lit(k).cast("long").alias("length"))
+            out = found if out is None else out.unionByName(found)
         open_ = known.where("n > 1").select("seqnum", "pos")
-    return out
+        if open_.isEmpty():
+            break
+    empty = query.select("seqnum", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("length")).where("false")
+    return empty if out is None else out
 
 
 def profile_score(kmer: Column, profile: list[dict[str, float]]) -> Column:

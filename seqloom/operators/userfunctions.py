@@ -9,9 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.operators.postings import with_text
+from seqloom.util import written
+
 
 @dataclass(frozen=True)
 class Bundle:
@@ -122,23 +125,64 @@ def by_sequence(matches: DataFrame) -> DataFrame:
     return one.unionByName(rows.select(F.col("seq2").alias("seqnum"), F.col("seq1").alias("other"), F.col("len2").alias("len"), F.col("pos2").alias("start"), F.col("pos1").alias("other_start")))
 
 
-def merged_matches(matches: DataFrame, percent: float) -> DataFrame:
+def merged_matches(matches: DataFrame, percent: float, *, bin_size: int = 1 << 12) -> DataFrame:
     """Matches of one pair of sequences merged to their bounding boxes where they overlap enough.
 
-    Neighbours by place are merged if the overlaps in both dimensions, negative for gaps, add up to `percent` of the
-    smaller one's lengths; runs of such neighbours become one.
+    Two matches are linked if their overlaps in both dimensions, negative for gaps, add up to `percent` of the smaller
+    one's lengths or more; matches that hang together by such links become one. An overlap that counts is positive in one
+    dimension at least, so matches meet in the bins that they cover in either.
     """
-    w = Window.partitionBy("seq1", "seq2").orderBy("pos1", "pos2", "len1", "len2")
-    last = lambda c: F.lag(c).over(w)
-    rows = matches.withColumns({"__e1": F.col("pos1") + F.col("len1"), "__e2": F.col("pos2") + F.col("len2")})
-    over1 = F.least(last("__e1"), F.col("__e1")) - F.greatest(last("pos1"), F.col("pos1"))
-    over2 = F.least(last("__e2"), F.col("__e2")) - F.greatest(last("pos2"), F.col("pos2"))
-    enough = (over1 + over2) >= F.least(F.col("len1") + F.col("len2"), last("len1") + last("len2")) * percent / 100
-    runs = rows.withColumn("__new", F.when(F.coalesce(enough, F.lit(False)), 0).otherwise(1)).withColumn("__run", F.sum("__new").over(w))
-    box = runs.groupBy("seq1", "seq2", "__run").agg(F.min("pos1").alias("pos1"), F.max("__e1").alias("__e1"), F.min("pos2").alias("pos2"), F.max("__e2").alias("__e2"))
+    from seqloom.operators.cluster import components
+
+    if percent <= 0:
+        raise ValueError("the percentage must be positive")
+    place = ["seq1", "pos1", "len1", "seq2", "pos2", "len2"]
+    rows = written(matches.select(*place).distinct().withColumn("__id", F.struct("seq1", "seq2", "pos1", "pos2", "len1", "len2")))
+
+    def met(i: int) -> DataFrame:
+        start, end = F.col(f"pos{i}"), F.col(f"pos{i}") + F.col(f"len{i}")
+        binned = rows.withColumn("__bin", F.explode(F.sequence(F.floor(start / bin_size), F.floor((end - 1) / bin_size))))
+        a, b = binned.alias("a"), binned.alias("b")
+        over = [F.least(F.col(f"a.pos{k}") + F.col(f"a.len{k}"), F.col(f"b.pos{k}") + F.col(f"b.len{k}")) - F.greatest(f"a.pos{k}", f"b.pos{k}") for k in (1, 2)]
+        enough = over[0] + over[1] >= F.least(F.col("a.len1") + F.col("a.len2"), F.col("b.len1") + F.col("b.len2")) * percent / 100
+        same = (F.col("a.seq1") == F.col("b.seq1")) & (F.col("a.seq2") == F.col("b.seq2")) & (F.col("a.__bin") == F.col("b.__bin"))
+        return a.join(b, same & (F.col("a.__id") < F.col("b.__id")) & enough).select(F.col("a.__id").alias("a"), F.col("b.__id").alias("b"))
+
+    found = components(met(1).unionByName(met(2)).distinct())
+    own = rows.join(found, rows["__id"] == found["elem"], "left").withColumn("__of", F.coalesce("cluster", "__id"))
+    box = own.groupBy("__of").agg(F.min("seq1").alias("seq1"), F.min("seq2").alias("seq2"), *[f for i in (1, 2) for f in (F.min(f"pos{i}").alias(f"pos{i}"), F.max(F.col(f"pos{i}") + F.col(f"len{i}")).alias(f"__e{i}"))])
     return box.select("seq1", "pos1", (F.col("__e1") - F.col("pos1")).alias("len1"), "seq2", "pos2", (F.col("__e2") - F.col("pos2")).alias("len2"))
 
 
+def tag_ends(matches: DataFrame, db: DataFrame, query: DataFrame, least: int = 20) -> DataFrame:
+    """Matches of `least` characters or more that end with their database sequence where the query goes on with gc or gt.
+
+    A match of mode 'P' must begin with its database sequence, and the query's letters before it must be ac or gc.
+    """
+    found = _with_side(matches, db, 1, ("len",)).where(F.col("len1") >= least)
+    found = found if "mode" in matches.columns else found.withColumn("mode", F.lit("D"))
+    found = with_text(found.withColumn("__at", F.when(F.col("mode") == "P", F.col("pos2") - 2).otherwise(F.col("pos2") + F.col("len2"))), query, "seq2", F.col("__at"), F.lit(2), "__text")
+    forward = (F.col("pos1") + F.col("len1") == F.col("__len1")) & F.col("__text").isin("gc", "gt")
+    backward = (F.col("pos1") == 0) & (F.col("__at") >= 0) & F.col("__text").isin("ac", "gc")
+    return _plain(found.where(F.when(F.col("mode") == "P", backward).otherwise(forward)), matches)
+
+
+def length_and_places(matches: DataFrame) -> DataFrame:
+    """Rows (len, pos1, pos2)."""
+    return matches.select(F.col("len1").alias("len"), "pos1", "pos2")
+
+
+def none(matches: DataFrame) -> DataFrame:
+    """No match at all."""
+    return matches.where("false")
+
+
+def not_in(matches: DataFrame, others: DataFrame) -> DataFrame:
+    """Matches that aren't among the others, by place and lengths; no rows tell that one set holds the other."""
+    place = ["seq1", "pos1", "len1", "seq2", "pos2", "len2"]
+    return matches.select(*place).join(others.select(*place), place, "left_anti")
+
+
 def as_fasta(matches: DataFrame, db: DataFrame, query: DataFrame) -> DataFrame:
     """Rows (value): both instances as FASTA records."""
     found = _with_side(_with_side(matches, db, 1, ("seq",)), query, 2, ("seq",))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import scores
+from seqloom.functions.alphabet import reverse_complement
 from seqloom.operators import complete, extend, filters, matches
 
 KINDS = ("maximal", "supermaximal", "tandem", "mum", "mum_candidates", "complete")
@@ -80,9 +81,6 @@ class MatchTask:
 
 def _exact(task: MatchTask, db: DataFrame, query: DataFrame | None) -> DataFrame:
     least = task.length
-    errors = (task.mismatches or task.edits).value if task.mismatches or task.edits else None
-    if errors is not None or task.drop is not None:
-        least = extend.seed_length(task.length, errors, task.seed)
     if query is None:
         found = {
             "maximal": lambda: matches.self_matches(db, least),
@@ -104,6 +102,35 @@ def _exact(task: MatchTask, db: DataFrame, query: DataFrame | None) -> DataFrame
     return out
 
 
+def _extended(task: MatchTask, db: DataFrame, other: DataFrame, seeds: DataFrame) -> DataFrame:
+    if task.mismatches:
+        return extend.extend_hamming(seeds, db, other, task.length, task.mismatches.value, seed=task.seed, symbols=task.symbols)
+    if task.edits:
+        return extend.extend_edit(seeds, db, other, task.length, task.edits.value, seed=task.seed, symbols=task.symbols)
+    return extend.extend_xdrop(seeds, db, other, task.drop, edits=task.drop_edits, seed=task.seed)
+
+
+def _with_errors(task: MatchTask, db: DataFrame, query: DataFrame | None) -> DataFrame:
+    """Extended matches of both directions; palindromic ones are extended along the other strand, and side 2 is turned back."""
+    errors = (task.mismatches or task.edits).value if task.mismatches or task.edits else None
+    least = extend.seed_length(task.length, errors, task.seed)
+    other, parts = db if query is None else query, []
+    if task.direct:
+        seeds = matches.self_matches(db, least) if query is None else matches.query_matches(db, query, least)
+        parts.append(_extended(task, db, other, seeds).withColumn("mode", F.lit("D")))
+    if task.palindromic:
+        back = other.withColumn("seq", reverse_complement(F.col("seq")))
+        found = _extended(task, db, back, matches.query_matches(db, back, least)).join(other.select(F.col("seqnum").alias("seq2"), F.length("seq").cast("long").alias("__n")), "seq2")
+        found = found.withColumn("pos2", F.col("__n") - F.col("pos2") - F.col("len2")).drop("__n").withColumn("mode", F.lit("P"))
+        if query is None:
+            found = found.where((F.col("seq1") < F.col("seq2")) | ((F.col("seq1") == F.col("seq2")) & (F.col("pos1") <= F.col("pos2"))))
+        parts.append(found)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.drop("score")
+
+
 def run(task: MatchTask, db: DataFrame, query: DataFrame | None = None) -> DataFrame:
     """Matches (seq1, pos1, len1, seq2, pos2, len2, mode, distance, score, identity, evalue) of the task."""
     n = db.agg((F.sum(F.col("len") + 1) - 1).cast("double").alias("__n"))
@@ -121,18 +148,7 @@ def run(task: MatchTask, db: DataFrame, query: DataFrame | None = None) -> DataF
             found = found.unionByName(p)
         found = found.join(query.select(F.col("seqnum").alias("seq2"), F.length("seq").cast("long").alias("len2")), "seq2").withColumn("pos2", F.lit(0).cast("long"))
     else:
-        found = filters.exact_columns(_exact(task, db, query))
-        if task.mismatches or task.edits or task.drop is not None:
-            if task.palindromic:
-                raise ValueError("extension is along the forward strand only")
-            other = db if query is None else query
-            if task.mismatches:
-                found = extend.extend_hamming(found, db, other, task.length, task.mismatches.value)
-            elif task.edits:
-                found = extend.extend_edit(found, db, other, task.length, task.edits.value)
-            else:
-                found = extend.extend_xdrop(found, db, other, task.drop, edits=task.drop_edits)
-            found = found.withColumn("mode", F.lit("D")).drop("score")
+        found = _with_errors(task, db, query) if task.mismatches or task.edits or task.drop is not None else filters.exact_columns(_exact(task, db, query))
     found = found.crossJoin(F.broadcast(n))
     size = F.col("__n")
     if task.kind == "complete":

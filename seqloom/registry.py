@@ -2,7 +2,7 @@
 
 Tables as sequences: `documents` (doc_id, text), `benchmark` (item_id, text), `conversations`
 (conv_id * 1000 + turn, text); DNA is benchmark text with its letters mapped to a, c, g and t in turn and all else
-left out. Every query takes its tables whole.
+left out. Every query takes its tables whole and its sequences whole.
 """
 
 from __future__ import annotations
@@ -39,9 +39,16 @@ def _dna(spark: SparkSession, d: str) -> DataFrame:
     return postings.sequences(_read(spark, d, "benchmark"), "item_id", "text", seq=text)
 
 
-def _heads(seqs: DataFrame, n: int) -> DataFrame:
-    """The first n characters of each sequence, as patterns."""
-    return seqs.where(F.col("len") >= n).select("seqnum", F.left("seq", F.lit(n)).alias("seq"))
+def _spoilt(seqs: DataFrame) -> DataFrame:
+    """Whole sequences with characters 20, 40 and 60 replaced, as patterns with mismatches."""
+    part = lambda i, n: F.substr(F.col("seq"), F.lit(i), F.lit(n))
+    return seqs.select("seqnum", F.concat(part(1, 19), F.lit("~"), part(21, 19), F.lit("~"), part(41, 19), F.lit("~"), part(61, 1 << 30)).alias("seq"))
+
+
+def _edited(seqs: DataFrame) -> DataFrame:
+    """Whole sequences without character 30 and with one more after character 60."""
+    part = lambda i, n: F.substr(F.col("seq"), F.lit(i), F.lit(n))
+    return seqs.select("seqnum", F.concat(part(1, 29), part(31, 30), F.lit("~"), part(61, 1 << 30)).alias("seq"))
 
 
 # --- SQL pieces ---------------------------------------------------------------------------------------------------
@@ -267,44 +274,65 @@ def _(spark, d):
 # --- whole patterns ---------------------------------------------------------------------------------------------------
 
 
-def _heads_sql(name: str, n: int) -> str:
-    return f"SELECT seqnum AS seq2, substr(seq, 1, {n}) AS pat FROM ({_SEQ[name]}) WHERE length(seq) >= {n}"
+# patterns, all of more than 80 characters; a place where one of k + 1 pieces stands is found by the piece's first 16
+_PATTERNS = {
+    "whole": f"SELECT seqnum AS seq2, seq AS pat FROM ({_SEQ['bench']})",
+    "spoilt": f"SELECT seqnum AS seq2, substr(seq, 1, 19) || '~' || substr(seq, 21, 19) || '~' || substr(seq, 41, 19) || '~' || substr(seq, 61) AS pat FROM ({_SEQ['bench']})",
+    "edited": f"SELECT seqnum AS seq2, substr(seq, 1, 29) || substr(seq, 31, 30) || '~' || substr(seq, 61) AS pat FROM ({_SEQ['bench']})",
+}
+
+
+def _near_sql(name: str, k: str) -> str:
+    """Rows (seq1, seq2, pat, k, start): where a pattern would start if a piece of it is right."""
+    pieces = f"SELECT seq2, pat, k, (i * length(pat)) // (k + 1) AS off FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM (SELECT *, {k} AS k FROM ({_PATTERNS[name]})))"
+    return f"SELECT DISTINCT p.seqnum AS seq1, seq2, pat, k, pos - off AS start FROM ({_post('docs', 16)}) p JOIN ({pieces}) ON km = substr(pat, (off + 1)::INT, 16)"
 
 
-@_query("complete_exact", f"SELECT p.seqnum AS seq1, pos AS pos1, 20::BIGINT AS len1, seq2, 0::BIGINT AS distance FROM ({_post('docs', 20)}) p JOIN ({_heads_sql('bench', 20)}) ON km = pat")
+@_query("complete_exact", f"SELECT seq1, start AS pos1, length(pat)::BIGINT AS len1, seq2, 0::BIGINT AS distance FROM ({_near_sql('whole', '0')}) JOIN ({_SEQ['docs']}) ON seqnum = seq1 WHERE substr(seq, (start + 1)::INT, length(pat)::INT) = pat")
 def _(spark, d):
-    return complete.exact(_docs(spark, d), _heads(_bench(spark, d), 20))
+    return complete.exact(_docs(spark, d), _bench(spark, d))
 
 
-def _hamming_sql(n: int, k: int) -> str:
-    off = f"list_sum([CASE WHEN substr(km, i, 1) <> substr(pat, i, 1) OR substr(km, i, 1) = '#' THEN 1 ELSE 0 END FOR i IN range(1, {n + 1})])"
-    window = f"SELECT seqnum, pos, substr(seq, (pos + 1)::INT, {n}) AS km FROM (SELECT seqnum, seq, unnest(range(0, length(seq) - {n} + 1)) AS pos FROM ({_SEQ['dna']}) WHERE length(seq) >= {n})"
-    return f"SELECT * FROM (SELECT w.seqnum AS seq1, pos AS pos1, {n}::BIGINT AS len1, seq2, -({off})::BIGINT AS distance FROM ({window}) w, ({_heads_sql('dna', n)})) WHERE distance >= -{k}"
+def _hamming_sql(k: str) -> str:
+    off = "CASE WHEN strlen(w) = strlen(pat) THEN hamming(w, pat) ELSE list_sum([CASE WHEN substr(w, i, 1) <> substr(pat, i, 1) THEN 1 ELSE 0 END FOR i IN range(1, length(pat) + 1)]) END"
+    window = f"SELECT n.*, substr(seq, (start + 1)::INT, length(pat)::INT) AS w FROM ({_near_sql('spoilt', k)}) n JOIN ({_SEQ['docs']}) ON seqnum = seq1 WHERE start >= 0 AND start + length(pat) <= length(seq)"
+    return f"SELECT seq1, start AS pos1, length(pat)::BIGINT AS len1, seq2, (-off)::BIGINT AS distance FROM (SELECT *, {off} AS off FROM ({window})) WHERE off <= k"
 
 
-@_query("complete_hamming", _hamming_sql(16, 3))
+@_query("complete_hamming", _hamming_sql("4"))
 def _(spark, d):
-    return complete.hamming(_dna(spark, d), _heads(_dna(spark, d), 16), 3)
+    return complete.hamming(_docs(spark, d), _spoilt(_bench(spark, d)), 4)
 
 
-@_query("complete_hamming_percent", _hamming_sql(20, 3))
+@_query("complete_hamming_percent", _hamming_sql("length(pat) * 3 // 100"))
 def _(spark, d):
-    return complete.hamming(_dna(spark, d), _heads(_dna(spark, d), 20), 15, percent=True)
+    return complete.hamming(_docs(spark, d), _spoilt(_bench(spark, d)), 3, percent=True)
+
+
+@_query("complete_hamming_best", f"SELECT * FROM ({_hamming_sql('length(pat) * 4 // 100')}) QUALIFY distance = max(distance) OVER (PARTITION BY seq2)")
+def _(spark, d):
+    return complete.hamming(_docs(spark, d), _spoilt(_bench(spark, d)), 4, percent=True, best=True)
+
 
+_EDIT = f"""WITH n AS MATERIALIZED (SELECT DISTINCT seq1, seq2, pat, k, start + o AS start FROM (SELECT *, unnest(range(-k, k + 1)) AS o FROM ({_near_sql('edited', '3')})) WHERE start + o >= 0),
+    e AS (SELECT n.*, e, levenshtein(regexp_replace(substr(seq, (start + 1)::INT, e::INT), '[^ -~\\s]', chr(1), 'g'), pat) AS d FROM (SELECT *, unnest(range(length(pat) - k, length(pat) + k + 1)) AS e FROM n) n JOIN ({_SEQ['docs']}) ON seqnum = seq1 WHERE start + e <= length(seq)),
+    found AS (SELECT seq1, start AS pos1, e::BIGINT AS len1, seq2, d::BIGINT AS distance FROM e WHERE d <= k QUALIFY row_number() OVER (PARTITION BY seq1, seq2, start ORDER BY d, e DESC) = 1)"""
 
-@_query("complete_hamming_best", f"SELECT * FROM ({_hamming_sql(16, 3)}) QUALIFY distance = max(distance) OVER (PARTITION BY seq2)")
+
+@_query("complete_edit", f"{_EDIT} SELECT * FROM found")
 def _(spark, d):
-    return complete.hamming(_dna(spark, d), _heads(_dna(spark, d), 16), 3, best=True)
+    return complete.edit(_docs(spark, d), _edited(_bench(spark, d)), 3)
 
 
-@_query("complete_edit")
+@_query("complete_edit_remred", f"{_EDIT} SELECT seq1, pos1, len1, seq2, distance FROM (SELECT *, pos1 - row_number() OVER (PARTITION BY seq1, seq2 ORDER BY pos1) AS run FROM found) QUALIFY row_number() OVER (PARTITION BY seq1, seq2, run ORDER BY distance, pos1 DESC) = 1")
 def _(spark, d):
-    return complete.edit(_dna(spark, d), _heads(_dna(spark, d), 18), 2)
+    return complete.without_redundant(complete.edit(_docs(spark, d), _edited(_bench(spark, d)), 3))
 
 
-@_query("complete_edit_remred")
+@_query("complete_palindromic", f"SELECT x.seqnum AS seq1, p AS pos1, length(y.seq)::BIGINT AS len1, y.seqnum AS seq2, 0::BIGINT AS distance FROM (SELECT seqnum, seq, unnest(range(0, length(seq) - 7)) AS p FROM ({_SEQ['dna']})) x JOIN (SELECT seqnum, substr(seq, 1, 8) AS seq FROM ({_SEQ['dnarc']})) y ON substr(x.seq, (p + 1)::INT, 8) = y.seq")
 def _(spark, d):
-    return complete.without_redundant(complete.edit(_dna(spark, d), _heads(_dna(spark, d), 18), 2))
+    # patterns are the last eight bases, so that some occur
+    return complete.palindromic(complete.exact, _dna(spark, d), _dna(spark, d).withColumn("seq", F.right("seq", F.lit(8))))
 
 
 @_query("complete_regexp", f"SELECT seq1, pos1, length(t)::BIGINT AS len1, 0::BIGINT AS seq2, 0::BIGINT AS distance FROM (SELECT seqnum AS seq1, pos AS pos1, regexp_extract(substr(seq, (pos + 1)::INT), '^(?:gatt?[ac]{{2,}}g)') AS t FROM (SELECT seqnum, seq, unnest(range(0, length(seq))) AS pos FROM ({_SEQ['dna']}))) WHERE t <> ''")
@@ -364,20 +392,6 @@ def _(spark, d):
     return filters.without_contained(found.select("seq1", "pos1", "len1", "seq2", "pos2", "len2"))
 
 
-@_query("hamming_distance", f"SELECT a.seq2 AS a, b.seq2 AS b, list_sum([CASE WHEN substr(a.pat, i, 1) <> substr(b.pat, i, 1) THEN 1 ELSE 0 END FOR i IN range(1, 41)])::BIGINT AS distance, levenshtein(a.pat, b.pat)::BIGINT AS edits FROM ({_heads_sql('dna', 40)}) a JOIN ({_heads_sql('dna', 40)}) b ON b.seq2 = a.seq2 + 1")
-def _(spark, d):
-    heads = _heads(_dna(spark, d), 40)
-    both = heads.alias("a").join(heads.alias("b"), F.col("b.seqnum") == F.col("a.seqnum") + 1)
-    return both.select(F.col("a.seqnum").alias("a"), F.col("b.seqnum").alias("b"), scores.hamming(F.col("a.seq"), F.col("b.seq")).cast("long").alias("distance"), F.levenshtein("a.seq", "b.seq").cast("long").alias("edits"))
-
-
-@_query("abbreviated_mismatch", f"SELECT a.seq2 AS a, list_aggregate([CASE WHEN substr(a.pat, i, 1) = substr(b.pat, i, 1) THEN substr(a.pat, i, 1) ELSE '[' || substr(a.pat, i, 1) || substr(b.pat, i, 1) || ']' END FOR i IN range(1, 25)], 'string_agg', '') AS text FROM ({_heads_sql('dna', 24)}) a JOIN ({_heads_sql('dna', 24)}) b ON b.seq2 = a.seq2 + 1")
-def _(spark, d):
-    heads = _heads(_dna(spark, d), 24)
-    both = heads.alias("a").join(heads.alias("b"), F.col("b.seqnum") == F.col("a.seqnum") + 1)
-    return both.select(F.col("a.seqnum").alias("a"), scores.abbreviated(F.col("a.seq"), F.col("b.seq")).alias("text"))
-
-
 # --- intervals ------------------------------------------------------------------------------------------------------------
 
 _MARK = f"SELECT seq1 AS seqnum, pos1 AS s, pos1 + len AS e FROM ({_mem('conv', 'bench', 12)})"
@@ -516,9 +530,17 @@ def _(spark, d):
     return mass.mass_search(_read(spark, d, "lineitem").withColumn("line", line), "l_orderkey", "line", "l_quantity", 60)
 
 
-@_query("multi_exact", f"WITH p AS MATERIALIZED ({_post('bench', 1)}) SELECT km AS kmer, seqnum, pos FROM p WHERE km IN (SELECT km FROM p GROUP BY km HAVING count(DISTINCT seqnum) = (SELECT count(DISTINCT seqnum) FROM ({_SEQ['bench']})))")
+@_query(
+    "multi_exact",
+    f"""WITH p AS MATERIALIZED (SELECT seqnum % 3 AS g, seqnum, pos, km FROM ({_post('docs', 24)})), k AS (SELECT g, km FROM p GROUP BY g, km HAVING count(*) <= 2), r AS MATERIALIZED (SELECT p.* FROM p JOIN k USING (g, km)),
+    t AS (SELECT [a.seqnum, b.seqnum, c.seqnum] AS seqs, a.pos AS p, [b.pos - a.pos, c.pos - a.pos] AS diag FROM r a JOIN r b ON a.km = b.km JOIN r c ON a.km = c.km WHERE a.g = 0 AND b.g = 1 AND c.g = 2),
+    f AS (SELECT seqs, diag, min(p) AS p0, count(*) + 23 AS len FROM (SELECT *, p - row_number() OVER (PARTITION BY seqs, diag ORDER BY p) AS run FROM t) GROUP BY seqs, diag, run)
+    SELECT array_to_string(seqs, ' ') AS seqs, p0 || ' ' || (p0 + diag[1]) || ' ' || (p0 + diag[2]) AS starts, len FROM f""",
+)
 def _(spark, d):
-    return matches.multi_matches(_bench(spark, d), 1)
+    found = matches.multi_matches(_docs(spark, d).withColumn("genome", F.col("seqnum") % 3), 24, 2)
+    words = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
+    return found.select(words("seqs"), words("starts"), "len")
 
 
 def _cb(spark, d) -> DataFrame:
@@ -528,6 +550,7 @@ def _cb(spark, d) -> DataFrame:
 _CB6 = f"SELECT seq1, pos1, len AS len1, seq2, pos2, len AS len2 FROM ({_CB})"
 _CBS = f"SELECT m.*, x.seq AS s1, y.seq AS s2 FROM ({_CB6}) m JOIN ({_SEQ['conv']}) x ON x.seqnum = seq1 JOIN ({_SEQ['bench']}) y ON y.seqnum = seq2"
 _SIX = "seq1, pos1, len1, seq2, pos2, len2"
+_CB8 = f"SELECT seq1, pos1, len AS len1, seq2, pos2, len AS len2 FROM ({_mem('conv', 'bench', 8)})"
 
 
 @_query("user_at_most", f"SELECT * FROM ({_CB6}) WHERE len1 <= 20")
@@ -535,14 +558,44 @@ def _(spark, d):
     return userfunctions.at_most(_cb(spark, d), 20)
 
 
-@_query("user_touching_an_end", f"SELECT {_SIX} FROM ({_CBS}) WHERE pos1 = 0 OR pos1 + len1 = length(s1)")
+_DD = _mem("dna", "dna", 5)
+_DDS = f"SELECT seq1, pos1, len AS len1, seq2, pos2, len AS len2, x.seq AS s1, y.seq AS s2 FROM ({_DD}) m JOIN ({_SEQ['dna']}) x ON x.seqnum = seq1 JOIN ({_SEQ['dna']}) y ON y.seqnum = seq2"
+
+
+def _dd(spark, d) -> DataFrame:
+    dna = _dna(spark, d)
+    return filters.exact_columns(matches.query_matches(dna, dna, 5)).select("seq1", "pos1", "len1", "seq2", "pos2", "len2")
+
+
+@_query("user_touching_an_end", f"SELECT {_SIX} FROM ({_DDS}) WHERE pos1 = 0 OR pos1 + len1 = length(s1)")
+def _(spark, d):
+    return userfunctions.touching_an_end(_dd(spark, d), _dna(spark, d))
+
+
+@_query("user_ending_at_the_end", f"SELECT {_SIX} FROM ({_DDS}) WHERE pos1 + len1 = length(s1)")
+def _(spark, d):
+    return userfunctions.ending_at_the_end(_dd(spark, d), _dna(spark, d))
+
+
+@_query("user_tag_ends", f"SELECT {_SIX} FROM ({_DDS}) WHERE len1 >= 5 AND pos1 + len1 = length(s1) AND substr(s2, (pos2 + len2 + 1)::INT, 2) IN ('gc', 'gt')")
+def _(spark, d):
+    return userfunctions.tag_ends(_dd(spark, d), _dna(spark, d), _dna(spark, d), 5)
+
+
+@_query("user_length_and_places", f"SELECT len1 AS len, pos1, pos2 FROM ({_DDS})")
 def _(spark, d):
-    return userfunctions.touching_an_end(_cb(spark, d), _conv(spark, d))
+    return userfunctions.length_and_places(_dd(spark, d))
 
 
-@_query("user_ending_at_the_end", f"SELECT {_SIX} FROM ({_CBS}) WHERE pos1 + len1 = length(s1)")
+@_query("user_none_selected", f"SELECT {_SIX} FROM ({_CB6}) WHERE false")
 def _(spark, d):
-    return userfunctions.ending_at_the_end(_cb(spark, d), _conv(spark, d))
+    return userfunctions.none(_cb(spark, d))
+
+
+@_query("matches_not_in", f"SELECT {_SIX} FROM ({_DDS}) EXCEPT ALL SELECT {_SIX} FROM ({_DDS}) WHERE len1 >= 7")
+def _(spark, d):
+    found = _dd(spark, d)
+    return userfunctions.not_in(found, found.where("len1 >= 7"))
 
 
 @_query("user_end_to_end", f"SELECT {_SIX} FROM ({_CBS}) WHERE NOT ((pos1 > 60 AND pos2 > 60) OR (length(s1) - pos1 - len1 > 60 AND length(s2) - pos2 - len2 > 60))")
@@ -550,19 +603,19 @@ def _(spark, d):
     return userfunctions.end_to_end(_cb(spark, d), _conv(spark, d), _bench(spark, d), 60)
 
 
-@_query("user_starting_and_ending", f"SELECT {_SIX} FROM ({_CBS}) WHERE substr(s1, pos1::INT + 1, 1) = 't' AND substr(s1, (pos1 + len1)::INT, 1) = ' '")
+@_query("user_starting_and_ending", f"SELECT {_SIX} FROM ({_DDS}) WHERE substr(s1, pos1::INT + 1, 2) = 'ac' AND substr(s1, (pos1 + len1)::INT - 1, 2) = 'gt' AND len1 >= 4")
 def _(spark, d):
-    return userfunctions.starting_and_ending(_cb(spark, d), _conv(spark, d), "t", " ")
+    return userfunctions.starting_and_ending(_dd(spark, d), _dna(spark, d))
 
 
-@_query("user_between_sites", f"SELECT {_SIX} FROM ({_CBS}) WHERE pos2 >= 1 AND substr(s2, pos2::INT, 1) = ' ' AND substr(s2, (pos2 + len2)::INT + 1, 1) = 'n'")
+@_query("user_between_sites", f"SELECT {_SIX} FROM ({_DDS}) WHERE pos2 >= 2 AND substr(s2, pos2::INT - 1, 2) = 'ag' AND substr(s2, (pos2 + len2)::INT + 1, 2) = 'gt'")
 def _(spark, d):
-    return userfunctions.between_sites(_cb(spark, d), _bench(spark, d), " ", "n")
+    return userfunctions.between_sites(_dd(spark, d), _dna(spark, d))
 
 
-@_query("user_after_symbol", f"SELECT {_SIX} FROM ({_CBS}) WHERE substr(s1, pos1::INT + 1, 1) = 'e'")
+@_query("user_after_symbol", f"SELECT {_SIX} FROM ({_DDS}) WHERE substr(s1, pos1::INT + 1, 1) = 'a'")
 def _(spark, d):
-    return userfunctions.after_symbol(_cb(spark, d), _conv(spark, d), "e")
+    return userfunctions.after_symbol(_dd(spark, d), _dna(spark, d), "a")
 
 
 @_query("user_context", f"SELECT seq1, pos1 AS start, substr(s1, pos1::INT + 1, 17) AS text FROM ({_CBS}) WHERE pos1 + 17 <= length(s1) AND NOT contains(substr(s1, pos1::INT + 1, 17), '#')")
@@ -595,17 +648,28 @@ def _(spark, d):
     return userfunctions.as_fasta(_cb(spark, d), _conv(spark, d), _bench(spark, d))
 
 
-@_query("user_merged")
-def _(spark, d):
-    return userfunctions.merged_matches(_cb(spark, d), 20)
+_M_OVER = "least(x.pos{i} + x.len{i}, y.pos{i} + y.len{i}) - greatest(x.pos{i}, y.pos{i})"
+_M_EDGES = f"SELECT x.id AS a, y.id AS b FROM m x JOIN m y ON x.seq1 = y.seq1 AND x.seq2 = y.seq2 AND x.id < y.id AND {_M_OVER.format(i=1)} + {_M_OVER.format(i=2)} >= least(x.len1 + x.len2, y.len1 + y.len2) * 20 / 100"
 
 
 @_query(
-    "minimum_unique_prefix",
-    "WITH "
-    + ", ".join(f"c{k} AS (SELECT km, count(*) AS n FROM ({_post('conv', k)}) GROUP BY km), q{k} AS (SELECT seqnum, pos FROM ({_post('bench', k)}) p JOIN c{k} USING (km) WHERE n = 1), m{k} AS (SELECT seqnum, pos FROM ({_post('bench', k)}) p JOIN c{k} USING (km))" for k in range(6, 12))
-    + " SELECT seqnum, pos, min(k)::BIGINT AS length FROM (" + " UNION ALL ".join(f"SELECT seqnum, pos, {k} AS k FROM q{k}" for k in range(6, 12)) + ") GROUP BY seqnum, pos",
+    "user_merged",
+    f"""WITH RECURSIVE m AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY seq1, seq2, pos1, pos2, len1) AS id FROM ({_CB8})), {_components(_M_EDGES)}, g AS (SELECT m.*, coalesce(cluster, id) AS c FROM m LEFT JOIN cc ON elem = id)
+    SELECT min(seq1) AS seq1, min(pos1) AS pos1, max(pos1 + len1) - min(pos1) AS len1, min(seq2) AS seq2, min(pos2) AS pos2, max(pos2 + len2) - min(pos2) AS len2 FROM g GROUP BY c""",
 )
+def _(spark, d):
+    found = filters.exact_columns(matches.query_matches(_conv(spark, d), _bench(spark, d), 8))
+    return userfunctions.merged_matches(found, 20)
+
+
+def _prefix_sql(least: int, most: int) -> str:
+    ks = range(least - 1, most + 1)
+    counts = ", ".join(f"c{k} AS (SELECT seqnum, pos, n FROM ({_post('bench', k)}) p JOIN (SELECT km, count(*) AS n FROM ({_post('conv', k)}) GROUP BY km) USING (km))" for k in ks)
+    found = " UNION ALL ".join(f"SELECT seqnum, pos, {k} AS k FROM c{k} WHERE n = 1" for k in ks if k >= least)
+    return f"WITH {counts} SELECT seqnum, pos, min(k)::BIGINT AS length FROM ({found}) JOIN (SELECT seqnum, pos FROM c{least - 1} WHERE n > 1) USING (seqnum, pos) GROUP BY seqnum, pos"
+
+
+@_query("minimum_unique_prefix", _prefix_sql(6, 11))
 def _(spark, d):
     return unique.minimum_unique_prefixes(_conv(spark, d), _bench(spark, d), 6, 11)
 
@@ -622,11 +686,34 @@ def _(spark, d):
 # --- translated matches, chains, extensions: no SQL, tested against brute force ---------------------------------------------------
 
 
-@_query("sixframe_match")
+_CODON = f"substr('{alphabet.CODES[1]}', 16 * (instr('tcag', substr(c, 1, 1)) - 1) + 4 * (instr('tcag', substr(c, 2, 1)) - 1) + instr('tcag', substr(c, 3, 1)), 1)"
+_SEQ["frames"] = f"""SELECT seqnum, f AS frame, n AS dna_len, array_to_string([{_CODON} FOR c IN [substr(s, (3 * i + f % 3 + 1)::INT, 3) FOR i IN range(0, (n - f % 3) // 3)]], '') AS seq
+    FROM (SELECT seqnum, f, length(seq) AS n, CASE WHEN f < 3 THEN seq ELSE reverse(translate(seq, 'acgt', 'tgca')) END AS s FROM (SELECT *, unnest(range(0, 6)) AS f FROM ({_SEQ['dna']})))"""
+_SEQ["six"] = f"SELECT seqnum * 6 + frame AS seqnum, seq FROM ({_SEQ['frames']})"
+_SEQ["sixplain"] = f"SELECT seqnum * 6 + frame AS seqnum, translate(seq, '*', '#') AS seq FROM ({_SEQ['frames']})"
+_SEQ["proteins"] = f"SELECT seqnum, translate(seq, '*', '#') AS seq FROM ({_SEQ['frames']}) WHERE frame = 1"
+
+
+def _to_dna(frame: str, pos: str, n: str) -> str:
+    return f"CASE WHEN {frame} < 3 THEN {pos} * 3 + {frame} ELSE {n} - ({pos} + len) * 3 - ({frame} - 3) END"
+
+
+@_query("six_frames", f"SELECT seqnum, frame::INT AS frame, dna_len::BIGINT AS dna_len, seq FROM ({_SEQ['frames']})")
+def _(spark, d):
+    return alphabet.six_frames(_dna(spark, d))
+
+
+@_query("protein_query", f"SELECT seq1, pos1, (seq2 // 6)::BIGINT AS seq2, (seq2 % 6)::INT AS frame, ({_to_dna('(seq2 % 6)', 'pos2', 'length(seq)')})::BIGINT AS pos2, len, len * 3 AS dna_len FROM ({_mem('proteins', 'sixplain', 4)}) JOIN ({_SEQ['dna']}) ON seqnum = seq2 // 6")
+def _(spark, d):
+    proteins = alphabet.six_frames(_dna(spark, d)).where("frame = 1").select("seqnum", "seq")
+    return matches.protein_query_matches(proteins, _dna(spark, d), 4)
+
+
+@_query("sixframe_match", f"SELECT (seq1 // 6)::BIGINT AS seq1, ({_to_dna('(seq1 % 6)', 'pos1', 'length(x.seq)')})::BIGINT AS pos1, (seq2 // 6)::BIGINT AS seq2, ({_to_dna('(seq2 % 6)', 'pos2', 'length(y.seq)')})::BIGINT AS pos2, len * 3 AS len, seq1 % 6 AS frame1, seq2 % 6 AS frame2 FROM ({_selfm('six', 4)}) JOIN ({_SEQ['dna']}) x ON x.seqnum = seq1 // 6 JOIN ({_SEQ['dna']}) y ON y.seqnum = seq2 // 6")
 def _(spark, d):
     six = alphabet.six_frames(_dna(spark, d))
     prot = six.withColumn("seqnum", F.col("seqnum") * 6 + F.col("frame")).select("seqnum", "seq", "dna_len")
-    found = matches.self_matches(prot, 7)
+    found = matches.self_matches(prot, 4)
     out = found
     for i in (1, 2):
         own = six.select((F.col("seqnum") * 6 + F.col("frame")).alias(f"seq{i}"), F.col("dna_len").alias(f"__n{i}"))
@@ -671,6 +758,38 @@ def _(spark, d):
     return extend.extend_hamming(seeds, dna, dna, 15, 2, seed=8)
 
 
+_WAYTEXT = f"SELECT DISTINCT {_WAY}, substr(s1, (pos1 - left_ + 1)::INT, n::INT) AS t1, substr(s2, (pos2 - left_ + 1)::INT, n::INT) AS t2 FROM ways"
+
+
+def _way_texts(spark, d) -> DataFrame:
+    seeds, dna = _seeds(spark, d)
+    found = extend.extend_all(seeds, dna, dna, 15, 2, seed=8)
+    for i in (1, 2):
+        found = postings.with_text(found, dna, f"seq{i}", F.col(f"pos{i}"), F.col(f"len{i}"), f"t{i}")
+    return found
+
+
+_ALLTEXT = f"SELECT * FROM ({_WAYTEXT}) a WHERE NOT EXISTS (SELECT 1 FROM ways b WHERE a.seq1 = b.seq1 AND a.seq2 = b.seq2 AND b.pos1 - b.left_ <= a.pos1 AND b.pos1 - b.left_ + b.n >= a.pos1 + a.len1 AND b.pos2 - b.left_ <= a.pos2 AND b.pos2 - b.left_ + b.n >= a.pos2 + a.len2 AND (a.pos1, a.len1, a.pos2) <> (b.pos1 - b.left_, b.n, b.pos2 - b.left_))"
+
+
+@_query("hamming_distance", f"{_STEPS} SELECT DISTINCT seq1, pos1, seq2, pos2, list_sum([CASE WHEN substr(t1, i, 1) <> substr(t2, i, 1) THEN 1 ELSE 0 END FOR i IN range(1, length(t1) + 1)])::BIGINT AS distance, levenshtein(t1, t2)::BIGINT AS edits FROM ({_ALLTEXT})")
+def _(spark, d):
+    return _way_texts(spark, d).select("seq1", "pos1", "seq2", "pos2", scores.hamming(F.col("t1"), F.col("t2")).cast("long").alias("distance"), F.levenshtein("t1", "t2").cast("long").alias("edits"))
+
+
+_PAIR = "CASE WHEN substr(t1, i, 1) = substr(t2, i, 1) THEN substr(t1, i, 1) ELSE {other} END"
+_IUB = " ".join(f"WHEN '{a}{b}' THEN '{c}' WHEN '{b}{a}' THEN '{c}'" for a, b, c in ("acm", "agr", "atw", "cgs", "cty", "gtk"))
+
+
+def _abbreviated_sql(other: str) -> str:
+    return f"array_to_string([{_PAIR.format(other=other)} FOR i IN range(1, length(t1) + 1)], '')"
+
+
+@_query("abbreviated_mismatch", f"{_STEPS} SELECT DISTINCT seq1, pos1, seq2, pos2, {_abbreviated_sql("'[' || substr(t1, i, 1) || substr(t2, i, 1) || ']'")} AS text, {_abbreviated_sql(f'CASE substr(t1, i, 1) || substr(t2, i, 1) {_IUB} END')} AS iub FROM ({_ALLTEXT})")
+def _(spark, d):
+    return _way_texts(spark, d).select("seq1", "pos1", "seq2", "pos2", scores.abbreviated(F.col("t1"), F.col("t2")).alias("text"), scores.abbreviated(F.col("t1"), F.col("t2"), iub=True).alias("iub"))
+
+
 @_query("extend_edit")
 def _(spark, d):
     seeds, dna = _seeds(spark, d)
@@ -728,3 +847,6 @@ def _(spark, d):
     dna = _dna(spark, d)
     both = dna.alias("a").join(dna.alias("b"), F.col("b.seqnum") == F.col("a.seqnum") + 1)
     return alignment.local_alignments(both.select(F.col("a.seqnum").alias("seq1"), F.col("b.seqnum").alias("seq2"), F.col("a.seq").alias("text1"), F.col("b.seq").alias("text2")))
+
+
+from seqloom import registry_files, registry_index  # noqa: E402, F401  they add their queries

@@ -84,16 +84,22 @@ def read_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return FORMATS[found.pop()](spark, paths)
 
 
-def query_part(query: DataFrame, first: int, last: int) -> DataFrame:
-    """Sequences cut to the places from `first` to `last`."""
+def query_part(query: DataFrame, first: int, last: int, seqnum: int | None = None) -> DataFrame:
+    """One query, cut to the places from `first` to `last`; without a seqnum there must be one query only."""
+    if seqnum is not None:
+        query = query.where(F.col("seqnum") == seqnum)
+    elif len(query.select("seqnum").take(2)) > 1:
+        raise ValueError("a part can be taken of one query only")
     seq = F.substr(F.col("seq"), F.lit(first + 1), F.lit(last - first + 1))
     return query.withColumn("seq", seq).withColumn("len", F.length("seq").cast("long"))
 
 
 def database_ranges(query: DataFrame) -> DataFrame:
-    """Queries with from and to where all descriptions end in '@ from to', which limits the part of the database; else null."""
+    """Queries with from and to where all descriptions end in '@ from to', which limits the part of the database; else both are null."""
     number = lambda i: F.regexp_extract("description", r"@\s*(\d+)\s+(\d+)\s*$", i)
-    return query.withColumns({"from": F.when(number(1) != "", number(1).cast("long")), "to": F.when(number(2) != "", number(2).cast("long"))})
+    every = query.agg(F.min((number(1) != "").cast("int"))).first()[0] == 1
+    value = lambda i: number(i).cast("long") if every else F.lit(None).cast("long")
+    return query.withColumns({"from": value(1), "to": value(2)})
 
 
 def read_matches(spark: SparkSession, paths: str | list[str]) -> DataFrame:

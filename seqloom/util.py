@@ -50,3 +50,20 @@ def running_total(df: DataFrame, order: str, value: Column, name: str, *, parts:
     earlier = sums.alias("a").join(sums.alias("b"), F.col("b.__part") < F.col("a.__part"), "left").groupBy(F.col("a.__part").alias("__part")).agg(F.coalesce(F.sum("b.__sum"), F.lit(0)).alias("__before"))
     own = F.coalesce(F.sum("__value").over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("__own", own).join(F.broadcast(earlier), "__part").withColumn(name, F.col("__before") + F.col("__own")).drop("__part", "__value", "__own", "__before")
+
+
+def row_numbers(df: DataFrame, order: list[str], size: Column | None = None, *, parts: int | None = None) -> DataFrame:
+    """`df`, whose rows differ in `order`, with before: how many rows (or how much of `size`) come before it.
+
+    Rows are sorted into ranges and written; a window runs inside one range, and the ranges' offsets come from a table of
+    one row for each.
+    """
+    from pyspark.sql import Window
+
+    value = F.lit(1) if size is None else size
+    ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    rows = written(ranged.withColumns({"__part": F.spark_partition_id(), "__value": value.cast("long")}))
+    sums = rows.groupBy("__part").agg(F.sum("__value").alias("__sum"))
+    offsets = sums.select("__part", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
+    inside = F.coalesce(F.sum("__value").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("__inside", inside).join(F.broadcast(offsets), "__part").withColumn("before", F.col("__offset") + F.col("__inside")).drop("__part", "__value", "__inside", "__offset")

@@ -15,10 +15,11 @@ def test_minimum_unique_prefixes(spark):
     want = {}
     for k, s in b.items():
         for i in range(len(s)):
-            for n in range(2, 8):
+            for n in range(1, 8):
                 w = s[i : i + n]
                 if len(w) == n and "#" not in w and brute.count(a, w) == 1:
-                    want[k, i] = n
+                    if n >= 2:
+                        want[k, i] = n
                     break
     assert got == want
 
