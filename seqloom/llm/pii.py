@@ -35,9 +35,9 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_TOKEN = "[A-Za-z0-9_/+=-]"
+_TOKEN = "[A-Za-z0-9_/+-]"
 PROPOSED = {
-    "secret": rf"(?<!{_TOKEN}){_TOKEN}{{20,}}+",
+    "secret": rf"(?<!{_TOKEN}){_TOKEN}{{20,}}+=*+",
     "number": r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{2,4}[\x20.-][0-9]{3,4}(?![0-9])",
     "mail": rf"(?<!{_LOCAL}){_LOCAL}++\x20?[\[({{](?i:at)[\])}}]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[({{](?i:dot)[\])}}])\x20?[A-Za-z0-9-]++)++",
 }
@@ -135,9 +135,9 @@ def _votes(kind: str, x: Column) -> dict[str, Column]:
     shape = {
         "secret": vote(text.rlike(r"^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$") | text.rlike(r"^(?:sk|pk|ghp|AKIA|xox)[A-Za-z0-9_-]{16,}$"), digits == 0),
         "number": vote(text.rlike(r"^\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$") | text.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), text.rlike(r"^[0-9]{2,4}\.[0-9]{2,4}\.[0-9]{3,4}$")),
-        "mail": vote(F.lit(True)),
+        "mail": vote(text.rlike(r"(?i)(?:\.|[\])}])\x20?[a-z]{2,}$"), text.rlike(r"[0-9]$")),
     }[kind]
-    mix = {"secret": vote((letters >= 3) & (digits >= 3), (letters == 0) | (digits == 0)), "number": vote(digits >= 9, digits <= 7), "mail": vote(letters >= 4)}[kind]
+    mix = {"secret": vote((letters >= 3) & (digits >= 3), (letters == 0) | (digits == 0)), "number": vote(digits >= 9, digits <= 7), "mail": vote(letters >= 4, letters < digits)}[kind]
     return {
         "shape": shape,
         "words_for": vote(before.rlike(rf"(?:^|[^a-z])(?:{FOR[kind]})[^a-z]{{0,8}}$")),
