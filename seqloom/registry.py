@@ -315,7 +315,7 @@ def _(spark, d):
 
 
 _EDIT = f"""WITH n AS MATERIALIZED (SELECT DISTINCT seq1, seq2, pat, k, start + o AS start FROM (SELECT *, unnest(range(-k, k + 1)) AS o FROM ({_near_sql('edited', '3')})) WHERE start + o >= 0),
-    e AS (SELECT n.*, e, levenshtein(regexp_replace(substr(seq, (start + 1)::INT, e::INT), '[^ -~\\s]', chr(1), 'g'), pat) AS d FROM (SELECT *, unnest(range(length(pat) - k, length(pat) + k + 1)) AS e FROM n) n JOIN ({_SEQ['docs']}) ON seqnum = seq1 WHERE start + e <= length(seq)),
+    e AS (SELECT n.*, e, levenshtein(regexp_replace(substr(seq, (start + 1)::INT, e::INT), '[^ -~\\s]', chr(1), 'g'), regexp_replace(pat, '[^ -~\\s]', chr(1), 'g')) AS d FROM (SELECT *, unnest(range(length(pat) - k, length(pat) + k + 1)) AS e FROM n) n JOIN ({_SEQ['docs']}) ON seqnum = seq1 WHERE start + e <= length(seq)),
     found AS (SELECT seq1, start AS pos1, e::BIGINT AS len1, seq2, d::BIGINT AS distance FROM e WHERE d <= k QUALIFY row_number() OVER (PARTITION BY seq1, seq2, start ORDER BY d, e DESC) = 1)"""
 
 
@@ -465,12 +465,12 @@ def _(spark, d):
     return cluster.size_distribution(_clusters(spark, d))
 
 
-_NUMBERED = f"SELECT row_number() OVER (ORDER BY seq1, pos1, seq2, pos2) AS match_id, seq1, pos1, len AS len1, seq2, pos2, len AS len2 FROM ({_selfm('bench', 11)})"
+_NUMBERED = f"SELECT row_number() OVER (ORDER BY seq1, pos1, seq2, pos2) AS match_id, seq1, pos1, len AS len1, seq2, pos2, len AS len2 FROM ({_selfm('bench', 9)})"
 _INSTANCES = "inst AS MATERIALIZED (SELECT match_id, seq1 AS s, pos1 AS a, pos1 + len1 AS b FROM m UNION ALL SELECT match_id, seq2, pos2, pos2 + len2 FROM m)"
 
 
 def _numbered(spark, d) -> DataFrame:
-    found = filters.exact_columns(matches.self_matches(_bench(spark, d), 11))
+    found = filters.exact_columns(matches.self_matches(_bench(spark, d), 9))
     return found.withColumn("match_id", F.row_number().over(Window.orderBy("seq1", "pos1", "seq2", "pos2")).cast("long"))
 
 
