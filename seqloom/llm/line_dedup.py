@@ -23,9 +23,9 @@ def line_key(line: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (row, __id, __hash, __text, __lines) of `docs`; __id and __hash tell rows apart up to those that are equal."""
+    """Rows (row, __id, __hash, __lines) of `docs`; __id and __hash tell rows apart up to those that are equal."""
     text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
-    return packed(docs, __id=F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(NULL_ID)), __hash=F.xxhash64(text), __text=text, __lines=F.split(text, "\n"))
+    return packed(docs, __id=F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(NULL_ID)), __hash=F.xxhash64(text), __lines=F.split(text, "\n"))
 
 
 def _dropped(keyed: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
@@ -49,7 +49,7 @@ def _deduplicated(docs: DataFrame, id_col: str, text_col: str, min_chars: int, m
     both = _keyed(docs, id_col, text_col).join(drop, ["__id", "__hash"], "left")
     places = F.sequence(F.lit(0), F.size("__lines") - 1)
     left = F.transform(F.array_except(places, F.col("__drop")), lambda i: F.get(F.col("__lines"), i))
-    return both.withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("__text")).otherwise(F.array_join(left, "\n")))
+    return both.withColumn("__kept", F.when(F.col("__drop").isNull(), F.coalesce(field("row", text_col).cast("string"), F.lit(""))).otherwise(F.array_join(left, "\n")))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 10, min_docs: int = 2) -> DataFrame:

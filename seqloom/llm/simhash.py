@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import packed, quoted, small_arrow_batches, unpacked, utf8_column, written
+from seqloom.llm.common import field, packed, quoted, small_arrow_batches, unpacked, utf8_column, written
 from seqloom.llm.components import connected_components
 
 BITS, BUDGET, SHINGLE, SEED = 64, 2, 3, 42
@@ -240,10 +240,10 @@ def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) ->
     """The rows of `docs` that keep_first() keeps under the components `found` (id, component_id)."""
     kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("id")).distinct()
     repeated = written(found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).count().where("count > 1").select("id"))
-    rows = packed(docs, id=F.col(quoted(id_col)).cast("long"), text=F.col(quoted(text_col)).cast("string"))
+    rows = packed(docs, id=F.col(quoted(id_col)).cast("long"))
     out = rows.join(kept, "id", "left_semi")
     if not repeated.isEmpty():
         several = out.join(repeated, "id", "left_semi")
-        one = several.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("text"))).where("place = 1").drop("place")
+        one = several.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(field("row", text_col)))).where("place = 1").drop("place")
         out = out.join(repeated, "id", "left_anti").unionByName(one)
     return unpacked(out.unionByName(rows.where("id IS NULL")), docs.columns)
