@@ -98,7 +98,7 @@ def database_ranges(query: DataFrame) -> DataFrame:
     """Queries with from and to where all descriptions end in '@ from to', which limits the part of the database; else both are null."""
     number = lambda i: F.regexp_extract("description", r"@\s*(\d+)\s+(\d+)\s*$", i)
     every = query.agg(F.min((number(1) != "").cast("int"))).first()[0] == 1
-    value = lambda i: number(i).cast("long") if every else F.lit(None).cast("long")
+    value = lambda i: number(i).try_cast("long") if every else F.lit(None).cast("long")
     return query.withColumns({"from": value(1), "to": value(2)})
 
 
