@@ -81,9 +81,3 @@ def test_pipeline(spark, tables):
         copies.setdefault(r["doc_id"], []).append(r["copy_number"])
     assert all(sorted(c) in ([1], [1, 2]) for c in copies.values())
     assert corpus_pipeline.run(spark, d).count() == len(seen["mixture"])
-
-
-def test_digest():
-    from seqloom.llm.decontaminate import digest
-
-    assert digest(["9", "10"]) == hashlib.sha256(b"10,9").hexdigest()
