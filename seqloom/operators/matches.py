@@ -37,21 +37,13 @@ def query_matches(db: DataFrame, query: DataFrame, least: int) -> DataFrame:
     return islands(pairs, least)
 
 
-def self_matches(db: DataFrame, least: int, *, within: bool = False) -> DataFrame:
-    """All maximal repeats: (seq1, pos1) before (seq2, pos2). K-mers that occur once are dropped before the join.
-
-    within: only repeats inside one sequence, for which only its own postings meet.
-    """
-    key = [*KEY, "seqnum"] if within else KEY
+def self_matches(db: DataFrame, least: int) -> DataFrame:
+    """All maximal repeats: (seq1, pos1) before (seq2, pos2). K-mers that occur once are dropped before the join."""
     d = postings(db, least)
-    again = d.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
-    d = d.join(again, key, "left_semi")
-    one, two = d.withColumnRenamed("pos", "pos1"), d.withColumnRenamed("pos", "pos2")
-    if within:
-        pairs = one.join(two, key).where("pos1 < pos2").withColumns({"seq1": F.col("seqnum"), "seq2": F.col("seqnum")})
-        return islands(pairs.select("seq1", "pos1", "seq2", "pos2"), least)
-    pairs = one.withColumnRenamed("seqnum", "seq1").join(two.withColumnRenamed("seqnum", "seq2"), KEY)
-    pairs = pairs.where((F.col("seq1") < F.col("seq2")) | ((F.col("seq1") == F.col("seq2")) & (F.col("pos1") < F.col("pos2"))))
+    again = d.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY)
+    d = d.join(again, KEY, "left_semi")
+    one, two = d.withColumnsRenamed({"seqnum": "seq1", "pos": "pos1"}), d.withColumnsRenamed({"seqnum": "seq2", "pos": "pos2"})
+    pairs = one.join(two, KEY).where((F.col("seq1") < F.col("seq2")) | ((F.col("seq1") == F.col("seq2")) & (F.col("pos1") < F.col("pos2"))))
     return islands(pairs.select("seq1", "pos1", "seq2", "pos2"), least)
 
 
@@ -128,12 +120,6 @@ def supermaximal_repeats(db: DataFrame, least: int, repeats: DataFrame | None =
     return named.join(out.distinct(), ["t1", "t2"], "left_anti").select("seq1", "pos1", "seq2", "pos2", "len")
 
 
-def tandem_repeats(repeats: DataFrame, least: int) -> DataFrame:
-    """Branching tandem repeats (seqnum, pos, period) of maximal repeats: the last square of each run that is as long as its shift."""
-    d = F.col("pos2") - F.col("pos1")
-    return repeats.where((F.col("seq1") == F.col("seq2")) & (d >= least) & (F.col("len") >= d)).select(F.col("seq1").alias("seqnum"), (F.col("pos1") + F.col("len") - d).alias("pos"), d.alias("period"))
-
-
 def _unique_in(matches: DataFrame, spans: DataFrame, side: int) -> DataFrame:
     """Matches whose instance on one side lies inside no span, that is, whose string occurs once there."""
     s, p = F.col(f"seq{side}"), F.col(f"pos{side}")

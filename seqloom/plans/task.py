@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import scores
 from seqloom.functions.alphabet import reverse_complement
-from seqloom.operators import complete, extend, filters, matches
+from seqloom.operators import complete, extend, filters, matches, tandem
 
 KINDS = ("maximal", "supermaximal", "tandem", "mum", "mum_candidates", "complete")
 
@@ -85,7 +85,7 @@ def _exact(task: MatchTask, db: DataFrame, query: DataFrame | None) -> DataFrame
         found = {
             "maximal": lambda: matches.self_matches(db, least),
             "supermaximal": lambda: matches.supermaximal_repeats(db, least),
-            "tandem": lambda: matches.tandem_repeats(matches.self_matches(db, least, within=True), least).select(F.col("seqnum").alias("seq1"), F.col("pos").alias("pos1"), F.col("seqnum").alias("seq2"), (F.col("pos") + F.col("period")).alias("pos2"), F.col("period").alias("len")),
+            "tandem": lambda: tandem.tandem_repeats(db, least).select(F.col("seqnum").alias("seq1"), F.col("pos").alias("pos1"), F.col("seqnum").alias("seq2"), (F.col("pos") + F.col("period")).alias("pos2"), F.col("period").alias("len")),
         }
         back = matches.palindromic_self_matches
     else:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import alphabet, scores
-from seqloom.operators import alignment, chain, cluster, complete, extend, filters, intervals, mass, matches, postings, select, unique, userfunctions
+from seqloom.operators import alignment, chain, cluster, complete, extend, filters, intervals, mass, matches, postings, select, tandem, unique, userfunctions
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BASES = "".join("acgt"[i % 4] for i in range(26)) * 2
@@ -227,8 +227,7 @@ def _(spark, d):
       AND (p + 2 * h > length(seq) OR substr(seq, p::INT, 1) <> substr(seq, (p + 2 * h)::INT, 1))""",
 )
 def _(spark, d):
-    found = matches.self_matches(_conv(spark, d), 4, within=True)
-    return matches.tandem_repeats(found, 4)
+    return tandem.tandem_repeats(_conv(spark, d), 4)
 
 
 _MUM_COUNT = "(SELECT count(*) FROM ({s}) s, unnest(range(0, length(s.seq) - f.len + 1)) AS u(p) WHERE length(s.seq) >= f.len AND substr(s.seq, (p + 1)::INT, f.len::INT) = f.w)"

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import alphabet, scores
-from seqloom.operators import complete, filters, intervals, matches, postings, select
+from seqloom.operators import complete, filters, intervals, matches, postings, select, tandem
 from tests import brute
 
 MATCH = ["seq1", "pos1", "seq2", "pos2", "len"]
@@ -37,8 +37,7 @@ def test_repeat_kinds(spark, seed):
     a = make(seed, symbols="ab#")
     df = frame(spark, a)
     assert rows(matches.supermaximal_repeats(df, 2), MATCH) == brute.supermaximal(a, 2)
-    found = matches.self_matches(df, 2, within=True)
-    assert rows(matches.tandem_repeats(found, 2), ["seqnum", "pos", "period"]) == brute.tandems(a, 2)
+    assert rows(tandem.tandem_repeats(df, 2), ["seqnum", "pos", "period"]) == brute.tandems(a, 2)
 
 
 def test_mums(spark):
