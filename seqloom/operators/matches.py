@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.alphabet import WILDCARD, reverse_complement
 from seqloom.operators.postings import postings, with_text
-from seqloom.util import running_total
+from seqloom.util import running_total, written
 
 KEY = ["h1", "h2"]
 
@@ -120,25 +120,29 @@ def supermaximal_repeats(db: DataFrame, least: int, repeats: DataFrame | None =
     return named.join(out.distinct(), ["t1", "t2"], "left_anti").select("seq1", "pos1", "seq2", "pos2", "len")
 
 
-def _unique_in(matches: DataFrame, spans: DataFrame, side: int) -> DataFrame:
-    """Matches whose instance on one side lies inside no span, that is, whose string occurs once there."""
-    s, p = F.col(f"seq{side}"), F.col(f"pos{side}")
-    rows = matches.select(s.alias("seqnum"), p.alias("start"), (p + F.col("len")).alias("end"), F.lit(1).alias("kind"), F.struct(*matches.columns).alias("m"))
-    both = rows.unionByName(spans.select("seqnum", "start", "end", F.lit(0).alias("kind"), F.lit(None).cast(rows.schema["m"].dataType).alias("m")))
-    reach = Window.partitionBy("seqnum").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = both.withColumn("reach", F.max(F.when(F.col("kind") == 0, F.col("end"))).over(reach))
-    return known.where((F.col("kind") == 1) & (F.coalesce("reach", F.lit(-1)) < F.col("end"))).select("m.*")
+def _alone(matches: DataFrame, side: int) -> DataFrame:
+    """Of all maximal matches those whose instance on one side lies inside no other match's instance there.
+
+    Wherever the string stands again on the other side, it matches this instance too, and the maximal match that holds it covers the
+    instance: so the string occurs once on the other side if nothing covers it. Equal instances are counted before the
+    window, which thus sees each of them once.
+    """
+    s, p, other = f"seq{side}", f"pos{side}", [c for c in matches.columns if c not in (f"seq{side}", f"pos{side}", "len")]
+    spans = matches.groupBy(s, p, "len").agg(F.count("*").alias("__n"), *[F.min(c).alias(c) for c in other])
+    before = Window.partitionBy(s).orderBy(p, F.col("len").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col(p) + F.col("len")
+    return spans.withColumn("__reach", F.max(end).over(before)).where((F.col("__n") == 1) & (F.coalesce("__reach", F.lit(-1)) < end)).select(*matches.columns)
 
 
-def mum_candidates(db: DataFrame, query: DataFrame, least: int, found: DataFrame | None = None) -> DataFrame:
+def mum_candidates(db: DataFrame, query: DataFrame, least: int) -> DataFrame:
     """Maximal matches whose string occurs once in the database."""
-    found = query_matches(db, query, least) if found is None else found
-    return _unique_in(found, instances(self_matches(db, least)), 1)
+    return _alone(query_matches(db, query, least), 2)
 
 
 def mums(db: DataFrame, query: DataFrame, least: int) -> DataFrame:
     """Maximal matches whose string occurs once in the database and once in the query."""
-    return _unique_in(mum_candidates(db, query, least), instances(self_matches(query, least)), 2)
+    found = written(query_matches(db, query, least))
+    return _alone(found, 2).join(_alone(found, 1), found.columns, "left_semi")
 
 
 def length_histogram(matches: DataFrame) -> DataFrame:

@@ -40,8 +40,9 @@ def test_repeat_kinds(spark, seed):
     assert rows(tandem.tandem_repeats(df, 2), ["seqnum", "pos", "period"]) == brute.tandems(a, 2)
 
 
-def test_mums(spark):
-    a, b = make(7), make(8)
+@pytest.mark.parametrize("symbols", ["acg#", "ab#"])
+def test_mums(spark, symbols):
+    a, b = make(7, symbols=symbols), make(8, symbols=symbols)
     got = rows(matches.mum_candidates(frame(spark, a), frame(spark, b), 3), MATCH)
     every = brute.query_matches(a, b, 3)
     word = lambda m: a[m[0]][m[1] : m[1] + m[4]]
