@@ -20,6 +20,8 @@ row. Extra columns are ignored by judge().
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,10 @@ RISK, ERROR = 0.02, 0.05
 STEPS, LEVELS, SHARE = 200, 20, 0.00025
 #: One in FIT good documents sets the path.
 FIT = 4
-#: Rejections up to which the tail is summed term by term; beyond, Chernoff's bound stands for it, which is never less.
+#: Rejections up to which log_tail() sums term by term; beyond, Chernoff's bound stands for it, which is never less.
 TERMS = 10_000
+#: Stirling's error, ln z! - ln(sqrt(2 pi z) (z / e)^z), below where its series is exact to a double; 0 has no use.
+STIRLING = [0.0, *[math.lgamma(z + 1) - (z + 0.5) * math.log(z) + z - 0.5 * math.log(2 * math.pi) for z in range(1, 16)]]
 #: Strata, of about 300 bytes each, up to which their table is broadcast.
 SENT = 100_000
 
@@ -112,7 +116,7 @@ def _step(rule: str) -> Column:
 
 
 def log_tail(k: Column, n: Column, p: float) -> Column:
-    """Natural logarithm of P[Bin(n, p) <= k]; 0, that is no proof of anything, for k >= n * p."""
+    """Natural logarithm of P[Bin(n, p) <= k], or for k > TERMS of a bound of it; 0 for k >= n * p. cutoffs() goes by exact_log_tail()."""
     odds = F.log(F.lit(p)) - F.log1p(F.lit(-p))
     none = n * F.log1p(F.lit(-p))
     # each term from the one before; the sum is kept as its logarithm
@@ -130,6 +134,35 @@ def log_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(0.0)).when(k <= TERMS, exact).otherwise(chernoff)
 
 
+def _stirling(z: Column) -> Column:
+    y = 1 / (z * z)
+    series = (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y * (1 / 1680 - y / 1188)))) / z
+    return F.when(z < len(STIRLING), F.get(F.array(*[F.lit(x) for x in STIRLING]), z.cast("int"))).otherwise(series)
+
+
+def exact_log_tail(k: Column, n: Column, p: float) -> Column:
+    """Natural logarithm of P[Bin(n, p) <= k], by one formula for all k and n; 0, that is no proof of anything, for k >= n * p.
+
+    The last term comes from Loader's form of it. Below it each term is less than the one after, the one j places down at
+    most exp(-j * (j - 1) / (2 * n * p)) of the last. So beyond sqrt(120 * n * p) places what is left is less than the
+    rounding of a double, and the sum ends there.
+    """
+    n, k = n.cast("double"), k.cast("double")
+    mean, rest = n * p, n - k
+    short = mean - k
+    deviance = k * F.log1p(-short / mean) + rest * F.log1p(short / (n * (1 - p)))
+    last = _stirling(n) - _stirling(k) - _stirling(rest) - deviance - 0.5 * F.log(2 * math.pi * k * (rest / n))
+    places = F.least(k, F.ceil(F.sqrt(120 * mean)) + 1).cast("long")
+
+    def more(s: Column, j: Column) -> Column:
+        term = s["term"] * ((k - j + 1) * (1 - p)) / ((rest + j) * p)
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    total = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(places, F.lit(1))), start, more, lambda s: s["total"])
+    return F.when(k >= mean, F.lit(0.0)).when(k <= 0, n * F.log1p(F.lit(-p))).otherwise(last + F.log(total))
+
+
 def _steps() -> Column:
     return F.array(*[_step(r) for r in RULES])
 
@@ -168,7 +201,7 @@ def cutoffs(good: DataFrame, id_col: str, stratum: str, steps: str, strata: int,
     by = at.groupBy(stratum).agg(F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("by"), F.sum("n").alias("n"))
     by = by.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
     rejected = F.aggregate(F.sequence(F.lit(0), F.col("j")), F.lit(0).cast("long"), lambda s, i: s + F.coalesce(F.element_at("by", i), F.lit(0)))
-    tested = by.withColumn("rejected", rejected).withColumn("holds", log_tail(F.col("rejected"), F.col("n"), risk) <= F.log(F.lit(error / max(1, strata))))
+    tested = by.withColumn("rejected", rejected).withColumn("holds", exact_log_tail(F.col("rejected"), F.col("n"), risk) <= F.log(F.lit(error / max(1, strata))))
     # the levels before the first that fails
     last = tested.groupBy(stratum).agg(F.coalesce(F.min(F.when(~F.col("holds"), F.col("j"))), F.lit(LEVELS)).alias("stop"), F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("j", "rejected"))).alias("by"))
     last = last.where("stop > 0").select(F.col(stratum).alias("__s"), (F.col("stop") - 1).alias("level"), "n", F.element_at("by", F.col("stop") - 1).alias("rejected"))
