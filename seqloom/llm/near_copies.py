@@ -1,5 +1,9 @@
 """Near copies by word shingles: documents whose sets of shingles have a Jaccard similarity of SIMILAR or more, without loss.
 
+op6's method comes first: SimHash fingerprints of the texts' shingles, their binary trie joined to itself, and an exact
+comparison of the entries that its links connect. Fingerprints can't promise to find every pair (at 0.8 about ten of 64 bits
+differ, and a trie with such a budget prunes next to nothing), so an exact search follows for the pairs that they left apart.
+
 Prefix filter: with the shingles of all documents in one order, two similar documents share m or more of the first
 n - ceil(SIMILAR * n) + m of either. The order is by hash, after that those that a sample shows to be frequent; the sample
 decides the order only, never whether a pair is found. Documents with equal sets are one entry. Entries that share
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import SOLID_BYTES, Words, byte_slices, gram_hashes, small_arrow_batches, utf8_column, written
 from seqloom.llm.components import connected_components
-from seqloom.llm.simhash import Forest, keep_least
+from seqloom.llm.simhash import Forest, fingerprint, keep_least, near_links
 
 #: Words of a shingle, and the least similarity as a fraction.
 SHINGLE, SIMILAR = 5, (4, 5)
@@ -74,23 +78,34 @@ def _flat(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str, schema: str, rows: Callable[[Iterator], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """rows() gets a list of (id, key, shingles) for each batch."""
+    """rows() gets a list of (id, key, shingles, text) for each batch."""
     small_arrow_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from rows([(i, set_key(s), s) for i, s in zip(b.column(0).to_pylist(), shingle_sets(utf8_column(b.column(1))), strict=True)] for b in batches)
+        both = ((b.column(0).to_pylist(), utf8_column(b.column(1))) for b in batches)
+        yield from rows([(i, set_key(s), s, t) for i, s, t in zip(ids, shingle_sets(texts), texts, strict=True)] for ids, texts in both)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, schema)
 
 
 def set_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, key: the same for equal sets of shingles)."""
+    """Rows (id, key: the same for equal sets of shingles, fp: op6's fingerprint of the shingles, as a signed number)."""
 
     def rows(scanned):
         for batch in scanned:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in batch], pa.int64()), pa.array([x[1] for x in batch], pa.int64())], names=["id", "key"])
+            found = np.array([fingerprint(x[3], SHINGLE) for x in batch], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in batch], pa.int64()), pa.array([x[1] for x in batch], pa.int64()), pa.array(found)], names=["id", "key", "fp"])
+
+    return _scan(docs, id_col, text_col, "id long, key long, fp long", rows)
+
 
-    return _scan(docs, id_col, text_col, "id long, key long", rows)
+def fingerprint_links(entries: DataFrame) -> DataFrame:
+    """Links (a, b) between `entries` (key, fp) of equal fingerprints, and of those that op6's trie join links; not compared yet."""
+    first = written(entries.groupBy("fp").agg(F.min("key").alias("least")))
+    same = entries.join(first, "fp").where("key != least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    ends = [first.select(F.col("fp").alias(x), F.col("least").alias(f"__{x}")) for x in ("a", "b")]
+    near = written(near_links(first.select("fp")).distinct()).join(ends[0], "a").join(ends[1], "b").select(F.col("__a").alias("a"), F.col("__b").alias("b"))
+    return same.unionByName(near)
 
 
 def _frequent(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
@@ -100,7 +115,7 @@ def _frequent(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
         seen: set[int] = set()
         for batch in scanned:
             own = []
-            for _, key, shingles in batch:
+            for _, key, shingles, _ in batch:
                 if key % SAMPLE == 0 and key not in seen:
                     seen.add(key)
                     own.append(np.stack([shingles, np.full(len(shingles), key)]))
@@ -122,7 +137,7 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         seen: set[int] = set()
         for batch in scanned:
             hashes, keys, sizes = [], [], []
-            for _, key, shingles in batch:
+            for _, key, shingles, _ in batch:
                 n = len(shingles)
                 if not n or key in seen:
                     continue
@@ -205,6 +220,12 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "__a", "__b").mapInArrow(verify, "a long, b long")
 
 
+def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that `classes` (node, root) don't connect."""
+    a, b = (classes.select(F.col("node").alias(x), F.col("root").alias(f"__{x}")) for x in ("a", "b"))
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(~F.coalesce(F.col("__a") == F.col("__b"), F.lit(False))).select("a", "b")
+
+
 def linked(sets: list[np.ndarray]) -> np.ndarray:
     """For each set the number of the least one it is linked with, by any path."""
     n = len(sets)
@@ -263,14 +284,18 @@ def _family_links(stars: DataFrame, sets: DataFrame, block: int) -> DataFrame:
 def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_group: int = MAX_GROUP, block: int = BLOCK) -> DataFrame:
     """Rows (id, component_id: the least id that similar documents lead to) for each row of `docs`."""
     prints = written(set_keys(docs, id_col, text_col))
-    entries = written(prints.groupBy("key").agg(F.min("id").alias("first")))
+    entries = written(prints.groupBy("key").agg(F.min("id").alias("first"), F.min("fp").alias("fp")))
+    found = written(fingerprint_links(entries))
     partners = written(_partners(_prefixes(docs, id_col, text_col), max_group))
-    if partners.isEmpty():
+    if found.isEmpty() and partners.isEmpty():
         placed = entries.select("key", F.col("first").alias("component_id"))
     else:
-        wanted = written(partners.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+        wanted = written(found.unionByName(partners.select("a", "b")).select(F.explode(F.array("a", "b")).alias("key")).distinct())
         sets = written(_sets(docs, id_col, text_col, wanted))
-        links = _verified(partners.where("family = 0").select("a", "b"), sets)
+        near = written(_verified(found, sets))
+        # what fingerprints have connected isn't compared again
+        left = _apart(partners.where("family = 0").select("a", "b"), written(connected_components(near)))
+        links = near.unionByName(_verified(left, sets))
         stars = partners.where("family = 1")
         if not stars.isEmpty():
             links = links.unionByName(_family_links(stars, sets, block))
