@@ -38,6 +38,8 @@ def seed_length(least: int, errors: int | None, seed: int | None = None) -> int:
 def log_evalue(length: int, distance: int, symbols: int) -> float:
     """Natural logarithm of the E-value of scores.evalue() for a multiplier of 1; minus infinity where that is 0."""
     k, p = abs(distance), 1.0 / symbols
+    if k > length:  # no way to choose them, and lgamma() has a pole there
+        return -math.inf
     log_p = math.lgamma(length + 1) - math.lgamma(k + 1) - math.lgamma(length - k + 1) + (length - k) * math.log(p) + (k + 2) * math.log1p(-p)
     if log_p <= math.log(scores.FLOOR) or distance > scores.MAX_EDIT:
         return -math.inf
