@@ -1,7 +1,8 @@
 """Chains of colinear fragments (start1, end1, start2, end2, weight), ends included, in each group.
 
 A group, a pair of sequences as a rule, is chained in one task: its fragments are what two sequences share, and
-chaining is sequential by nature. Groups come sorted, many to an Arrow batch. Every fragment looks at all its possible predecessors, vectorised.
+chaining is sequential by nature. Groups come sorted, many to an Arrow batch; those of one size
+are chained together. Every fragment looks at all its possible predecessors, vectorised.
 """
 
 from __future__ import annotations
@@ -107,6 +108,52 @@ def best_chains(s1, e1, s2, e2, weight, mode: ChainMode) -> list[tuple[float, li
     return out
 
 
+def _chain_step(s1, e1, s2, e2, total, j: int, mode: ChainMode):
+    """For fragment j of each group (a row): its best predecessor, that one's value, and whether there is any."""
+    at = lambda x: x[:, j : j + 1]
+    if mode.kind == "overlaps":
+        fits = (s1[:, :j] < at(s1)) & (e1[:, :j] < at(e1)) & (s2[:, :j] < at(s2)) & (e2[:, :j] < at(e2))
+        cost = np.maximum(0, e1[:, :j] - at(s1) + 1) + np.maximum(0, e2[:, :j] - at(s2) + 1)
+    else:
+        d1, d2 = at(s1) - e1[:, :j], at(s2) - e2[:, :j]
+        fits = (d1 > 0) & (d2 > 0)
+        cost = 0 if mode.kind == "global" else d1 + d2 if mode.cost == "sum" else np.maximum(d1, d2) - 1
+    if mode.max_gap is not None:
+        fits &= (at(s1) - e1[:, :j] - 1 <= mode.max_gap) & (at(s2) - e2[:, :j] - 1 <= mode.max_gap)
+    value = np.where(fits, total[:, :j] - cost, -np.inf)
+    k = value.argmax(axis=1)
+    return k, value[np.arange(len(k)), k], fits.any(axis=1)
+
+
+def equal_groups(s1, e1, s2, e2, weight, mode: ChainMode):
+    """(score, group, step, fragment) as columns: the best chain of each of many groups of equal size, as best_chains() finds it.
+
+    Arrays have a row for each group, its fragments sorted by start1 and start2. Not for local chains, of which there can be several.
+    """
+    weight = weight * mode.weight_factor
+    n = s1.shape[1]
+    both = np.add if mode.cost == "sum" else np.maximum
+    gaps = mode.kind == "gap_cost"
+    total = weight - both(s1 - s1.min(axis=1, keepdims=True), s2 - s2.min(axis=1, keepdims=True)) if gaps else weight.copy()
+    before = np.full(s1.shape, -1)
+    for j in range(1, n):
+        k, value, some = _chain_step(s1, e1, s2, e2, total, j, mode)
+        taken = some if gaps else some & (value > 0)
+        total[taken, j], before[taken, j] = value[taken] + weight[taken, j], k[taken]
+    final = total - both(e1.max(axis=1, keepdims=True) - e1, e2.max(axis=1, keepdims=True) - e2) if gaps else total
+    rows = np.arange(len(s1))
+    at = final.argmax(axis=1)
+    score, groups, found = final[rows, at], [], []
+    while len(rows):
+        groups.append(rows)
+        found.append(at)
+        at = before[rows, at]
+        rows, at = rows[at >= 0], at[at >= 0]
+    depth = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    of, found = np.concatenate(groups), np.concatenate(found)
+    return score[of], of, np.bincount(of)[of] - 1 - depth, found
+
+
 def chains(fragments: DataFrame, group: list[str], mode: ChainMode) -> DataFrame:
     """Rows (group, chain, score, step, start1, end1, start2, end2, weight): the fragments of each chain in order."""
     types = {f.name: f.dataType.simpleString() for f in fragments.schema.fields}
@@ -121,16 +168,31 @@ def chains(fragments: DataFrame, group: list[str], mode: ChainMode) -> DataFrame
         found = best_chains(s1, e1, s2, e2, w, mode)
         return [(*key, c, score, step, int(s1[i]), int(e1[i]), int(s2[i]), int(e2[i]), float(w[i])) for c, (score, path) in enumerate(found) for step, i in enumerate(path)]
 
+    def many(held: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        """The chains of whole groups, which begin at `starts`; groups of one size are chained together."""
+        if mode.kind == "local":
+            return pd.DataFrame([row for a, b in zip(starts, [*starts[1:], len(held)], strict=True) for row in one(held.iloc[a:b])], columns=names)
+        sizes, parts = np.diff([*starts, len(held)]), []
+        s1, e1, s2, e2 = (held[c].to_numpy(dtype=np.int64) for c in ("start1", "end1", "start2", "end2"))
+        weight = held["weight"].to_numpy(dtype=np.float64)
+        for n in np.unique(sizes):
+            at = starts[sizes == n][:, None] + np.arange(n)
+            score, of, step, k = equal_groups(s1[at], e1[at], s2[at], e2[at], weight[at], mode)
+            part = held.iloc[at[of, k]]
+            parts.append(part.assign(chain=0, score=score, step=step)[names])
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
         for batch in batches:
             held = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             change = (held[group] != held[group].shift()).any(axis=1).to_numpy()
             starts = np.flatnonzero(change)
-            yield pd.DataFrame([row for a, b in zip(starts, starts[1:], strict=False) for row in one(held.iloc[a:b])], columns=names)
+            if len(starts) > 1:
+                yield many(held.iloc[: starts[-1]], starts[:-1])
             rest = held.iloc[starts[-1] :] if len(starts) else held  # the last group may go on
         if rest is not None and len(rest):
-            yield pd.DataFrame(one(rest), columns=names)
+            yield many(rest, np.zeros(1, dtype=np.int64))
 
     dealt = fragments.select(*group, *places).repartition(*group).sortWithinPartitions(*group, *places)
     return dealt.mapInPandas(run, schema)
